@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .minhash import op6_minhash
 from .packing import op10_packing
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
