@@ -35,6 +35,10 @@ from .kernels import buckets_of, chunks, ragged, squeeze, text_buffer, unsqueeze
 _U = np.uint64
 #: Words encoded by one call of the library.
 BATCH = 10_000
+#: Chunks whose distinct words are merged at once.
+MERGE = 4
+#: Text bytes whose decoding is held at once.
+SMALL = 1 << 18
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,10 +57,19 @@ def _block_words(columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             values, first = np.unique(word_hashes(part, starts, ends), return_index=True)
             lengths = (ends - starts)[first]
             parts.append((part[ragged(starts[first], lengths)], lengths, values))
+            if len(parts) == MERGE:
+                parts = [_merged(parts)]
     if not parts:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, _U)
+    data, lengths, hashes = _merged(parts)
+    return data, np.concatenate(([0], np.cumsum(lengths))), hashes
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words (bytes, lengths, hashes) of several lists, in the order of their hashes."""
     data, lengths, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return _distinct(data, np.concatenate(([0], np.cumsum(lengths))), hashes)
+    data, offsets, hashes = _distinct(data, np.concatenate(([0], np.cumsum(lengths))), hashes)
+    return data, np.diff(offsets), hashes
 
 
 def _send_words(buckets: int):
@@ -126,7 +139,7 @@ def _assemble(path: str, digest: bool):
         out = []
         for batch in batches:
             n_tokens, first, second = [], [], []
-            for _, _, part, offs in chunks(*text_buffer(batch.column(1))):
+            for _, _, part, offs in chunks(*text_buffer(batch.column(1)), SMALL):
                 s, e, wo = words(part, offs)
                 of = np.searchsorted(index, word_hashes(part, s, e))
                 flat = ids[ragged(starts[of], counts[of])]

@@ -128,7 +128,9 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     if total == 0:
         return np.zeros(0, np.int64)
     before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(total)
+    out = np.repeat(starts - before, counts)
+    out += np.arange(total)
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
