@@ -10,9 +10,8 @@ Documents with equal sets form a class and are compared once.  In each band
 bucket every class is paired with the bucket's pivot (its least class), never
 with every other.  Pairs pass the collision-corrected Jaccard estimate, then
 are confirmed on full sets.  A second round restores links that no pivot shows:
-Jaccard distance is a metric, so in a bucket whose members fell into different
-components, a class left over is compared just with members whose distance to
-the pivot differs by no more than the allowed distance.
+where a pivot's buckets hold several components, classes outside the commonest
+one are compared with the others, on full sets, in blocks of bounded size.
 
 A pair at the threshold shares no band with probability (1 - s^4)^24: 2e-8 at
 0.85, 3e-6 at 0.8.
@@ -43,6 +42,8 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=_U) * _U(0x632BE59BD9B4E019))
 _FACTORS = mix(_SEEDS) | _U(1)
+#: Rows of a side of a block in the second round.
+BLOCK = 1024
 #: Shingles hashed at once.
 SLICE = 1 << 13
 
@@ -163,14 +164,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     pivots = banded.groupBy("band", "key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("most")).where("pivot < most").drop("most")
     members = settle(banded.join(pivots, ["band", "key"]), "members")
     stars = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    # far below the threshold, so that the distances the second round prunes by are exact
-    first = settle(_measured(settle(_plausible(stars, classes, percent / 100 - 0.45), "pairs"), texts, shingle), "measured")
-    is_link = F.col("common") * 100 >= F.col("total") * percent
-    links = first.where(is_link).select("a", "b")
+    # five standard errors of the estimate below the threshold
+    pairs = settle(_plausible(stars, classes, percent / 100 - 0.2), "pairs")
+    links = settle(_measured(pairs, texts, shingle).where(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"), "links")
     labels = settle(components(links), "labels")
-    more = _second_round(members, first, labels, classes, texts, shingle, percent)
+    more = _second_round(members, labels, classes, texts, shingle, percent)
     if more is not None:
-        labels = settle(components(links.unionByName(more.where(is_link).select("a", "b"))), "labels")
+        labels = settle(components(links.unionByName(more)), "labels")
 
     of_class = classes.join(labels, classes.cid == labels.node, "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component"))
@@ -180,23 +180,51 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.hex("cid").alias("class_id"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _second_round(members: DataFrame, first: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """Measured pairs of classes left over in a bucket with the members that may link to them."""
-    named = members.join(labels, members.cid == labels.node, "left").select("band", "key", "cid", "pivot", F.coalesce("label", "cid").alias("label"))
-    at_pivot = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
-    named = named.join(at_pivot, "pivot", "left").withColumn("pivot_label", F.coalesce("pivot_label", "pivot"))
-    mixed = named.where("label <> pivot_label").select("band", "key").distinct()
-    near = first.select(F.col("a").alias("pivot"), F.col("b").alias("cid"), (1 - F.col("common") / F.col("total")).alias("d"))
-    told = named.join(mixed, ["band", "key"], "left_semi").join(near, ["pivot", "cid"], "left")
-    told = settle(told.withColumn("d", F.when(F.col("cid") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))), "mixed")
-    left = told.where("label <> pivot_label").select("band", "key", F.col("cid").alias("a"), F.col("label").alias("l"), F.col("d").alias("e"))
-    others = told.where("cid <> pivot").select("band", "key", F.col("cid").alias("b"), "label", "d")
-    slack = 1 - percent / 100 + 1e-9
-    pairs = left.join(others, ["band", "key"]).where((F.col("l") != F.col("label")) & (F.abs(F.col("e") - F.col("d")) <= slack))
-    pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "leftover")
-    if pairs.isEmpty():
+def _second_round(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between classes that share a bucket but not a component.
+
+    Buckets with one pivot count as one group.  In a group, all that lie outside
+    its commonest component are held against all others by exact intersections,
+    in square blocks of bounded size; each row names one link to each other
+    component at most, so the result stays linear."""
+    named = members.select("pivot", "cid").distinct().join(labels, members.cid == labels.node, "left").select("pivot", "cid", F.coalesce("label", "cid").alias("label"))
+    sizes = named.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("c"))
+    groups = sizes.groupBy("pivot").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts"))
+    told = settle(named.join(groups.where("parts > 1").drop("parts"), "pivot"), "mixed")
+    if told.isEmpty():
         return None
-    return settle(_measured(settle(_plausible(pairs, classes, percent / 100 - 0.2), "pairs"), texts, shingle), "measured")
+    hashes = told.select("cid").distinct().join(classes, "cid").select("text_hash").distinct()
+    sets = settle(_sets(docs.join(hashes, "text_hash", "left_semi").select("text"), k).where("size(items) > 0").dropDuplicates(["cid"]), "sets")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = told.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.where("label <> main").select("pivot", "cid", "label", F.col("own").alias("x"), every.alias("y")).join(sets, "cid").toDF("cid", "pivot", "label", "x", "y", "items")
+    right = placed.select("pivot", "cid", "label", F.col("own").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).join(sets, "cid").toDF("cid", "pivot_r", "label", "y_r", "x_r", "items")
+    return settle(left.groupBy("pivot", "x", "y").cogroup(right.groupBy("pivot_r", "x_r", "y_r")).applyInArrow(_block_links(percent), "a binary, b binary").distinct(), "more")
+
+
+def _block_links(percent: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(left) and len(right):
+            items = right.column("items").combine_chunks()
+            offsets = np.asarray(items.offsets)
+            values, place = np.unique(items.flatten().to_numpy(), return_inverse=True)
+            names, ids = np.array(right.column("label").to_pylist(), object), right.column("cid").to_pylist()
+            sizes = np.diff(offsets)
+            for cid, label, mine in zip(left.column("cid").to_pylist(), left.column("label").to_pylist(), left.column("items"), strict=True):
+                mine = mine.values.to_numpy()
+                mark = np.zeros(len(values) + 1, np.int32)
+                at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+                mark[at[values[at] == mine]] = 1
+                common = np.add.reduceat(mark[place], offsets[:-1])
+                near = np.flatnonzero((common * 100 >= percent * (len(mine) + sizes - common)) & (names != label))
+                for i in {names[i]: i for i in near}.values():
+                    a.append(cid)
+                    b.append(ids[i])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
 
 
 def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
