@@ -2,5 +2,133 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import checks
+from ..functions.text import DIGIT_BLOCKS, INJECTIONS, TASKS, classify_task, injection, mask, normalise_digits, site_of
+from ..operators.rules import RULES, scan_text
+
+BY_NUMBER = {r.number: r for r in RULES}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(number: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = scan_text(_table(spark, sf_dir, "documents"), "doc_id", "text", [BY_NUMBER[number]])
+        return found.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+
+    return query
+
+
+def _values_sql(pattern: str) -> str:
+    return f"SELECT doc_id, value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM documents) GROUP BY ALL"
+
+
+def pii_by_lang_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = scan_text(docs.select("doc_id", "text"), "doc_id", "text", [BY_NUMBER[9], BY_NUMBER[29]])
+    per_doc = found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("findings"))
+
+
+def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_text(_table(spark, sf_dir, "documents"), "doc_id", "text", [BY_NUMBER[9], BY_NUMBER[29]])
+    return found.select("doc_id", "kind", mask(F.col("value")).alias("masked")).groupBy("doc_id", "kind", "masked").agg(F.count(F.lit(1)).alias("n"))
+
+
+def card_luhn_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_text(_table(spark, sf_dir, "documents"), "doc_id", "text", [BY_NUMBER[3]])
+    return found.select("doc_id", checks.compact(F.col("value")).alias("digits")).withColumn("brand", checks.card_brand(F.col("digits")))
+
+
+def pii_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_text(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def digit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.translate(F.col("text"), "0123456789", "".join(chr(DIGIT_BLOCKS[0] + i) for i in range(10)))
+    return _table(spark, sf_dir, "benchmark").select("item_id", normalise_digits(t).alias("plain"))
+
+
+def verhoeff_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", checks.verhoeff(F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("valid"))
+
+
+def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", site_of(F.col("url")).alias("site"))
+
+
+def task_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", classify_task(F.col("text")).alias("category"))
+
+
+def injection_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", injection(F.col("text")).alias("sign"))
+
+
+def repeat_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, actions seen over 3 times among the last 24 of theirs."""
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-23, 0)
+    same = F.size(F.filter(F.collect_list("event_type").over(last), lambda x: x == F.col("event_type"))).cast("long")
+    return events.select("event_id", same.alias("seen"), (same > 3).alias("repeated"))
+
+
+def pii_quality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = scan_text(docs, "doc_id", "text", [BY_NUMBER[9], BY_NUMBER[29]]).select("doc_id").distinct().withColumn("hit", F.lit(1))
+    joined = docs.select("doc_id").join(_table(spark, sf_dir, "labels"), "doc_id").join(hit, "doc_id", "left")
+    return joined.groupBy("quality").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.coalesce("hit", F.lit(0))).alias("with_pii"))
+
+
+_EMAIL, _IP, _PHONE = (BY_NUMBER[i].pattern for i in (9, 29, 15))
+_BOTH_SQL = f"""
+SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '{_EMAIL}')) AS value FROM documents
+UNION ALL SELECT doc_id, 'ip_address', unnest(regexp_extract_all(text, '{_IP}')) FROM documents"""
+_DIGITS = "list_transform(range(0, len(s)), lambda i: CAST(s[len(s) - i] AS INTEGER))"
+_VERHOEFF = f"list_reduce(list_transform({_DIGITS}, lambda d, i: {[x for r in checks.POWERS for x in r]}[((i - 1) % 8) * 10 + d + 1]), lambda c, p: {checks.PRODUCTS}[c * 10 + p + 1], 0)"
+_LUHN = "list_sum(list_transform(range(0, len(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[len(digits) - i] AS INTEGER) ELSE (2 * CAST(digits[len(digits) - i] AS INTEGER)) // 10 + (2 * CAST(digits[len(digits) - i] AS INTEGER)) % 10 END)) % 10 = 0"
+_BRAND = "CASE " + " ".join(f"WHEN regexp_matches(digits, '{p}') THEN '{n}'" for n, p in checks.BRANDS) + " END"
+_TASK = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)\\b(?:{p})\\b') THEN '{n}'" for n, p in TASKS) + " END"
+_SIGN = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '(?i){p}'), '')" for p in INJECTIONS) + ")"
+_DOT = "•"
+
+QUERIES = {
+    "email_spans": _values(9),
+    "ip_spans": _values(29),
+    "intl_phone_spans": _values(15),
+    "pii_by_lang_kind": pii_by_lang_kind,
+    "masked_values": masked_values,
+    "card_luhn_brand": card_luhn_brand,
+    "pii_findings": pii_findings,
+    "digit_normalise": digit_normalise,
+    "verhoeff_keys": verhoeff_keys,
+    "url_host": url_host,
+    "task_class": task_class,
+    "injection_flags": injection_flags,
+    "repeat_actions": repeat_actions,
+    "pii_quality_join": pii_quality_join,
+}
+
+ORACLE_SQL = {
+    "email_spans": _values_sql(_EMAIL),
+    "ip_spans": _values_sql(_IP),
+    "intl_phone_spans": f"SELECT * FROM ({_values_sql(_PHONE)}) WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 8 AND 15",
+    "pii_by_lang_kind": f"SELECT lang, kind, count(*) AS docs, CAST(sum(n) AS BIGINT) AS findings FROM (SELECT doc_id, kind, count(*) AS n FROM ({_BOTH_SQL}) GROUP BY ALL) JOIN documents USING (doc_id) GROUP BY ALL",
+    "masked_values": f"""SELECT doc_id, kind, CASE WHEN kind = 'email' THEN value[1] || repeat('{_DOT}', greatest(1, len(split_part(value, '@', 1)) - 1)) || '@' || split_part(value, '@', 2)
+        ELSE left(value, 2) || regexp_replace(substr(value, 3, len(value) - 4), '[^\\s-]', '{_DOT}', 'g') || right(value, 2) END AS masked, count(*) AS n FROM ({_BOTH_SQL}) GROUP BY ALL""",
+    "card_luhn_brand": f"""WITH c AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{BY_NUMBER[3].pattern}')), '[\\s-]', '', 'g') AS digits FROM documents)
+        SELECT doc_id, digits, {_BRAND} AS brand FROM c WHERE len(digits) BETWEEN 13 AND 19 AND {_LUHN} AND digits <> repeat(digits[1], len(digits)) AND {_BRAND} IS NOT NULL""",
+    "digit_normalise": "SELECT item_id, text AS plain FROM benchmark",
+    "verhoeff_keys": f"SELECT o_orderkey, {_VERHOEFF} = 0 AS valid FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS s FROM orders)",
+    "url_host": r"SELECT page_id, regexp_replace(nullif(lower(regexp_extract(url, '^(?i:https?)://(?:[^/?#@]*@)?([^/:?#]+)', 1)), ''), '^www\.', '') AS site FROM pages",
+    "task_class": f"SELECT conv_id, turn, role, {_TASK} AS category FROM conversations",
+    "injection_flags": f"SELECT conv_id, turn, role, {_SIGN} AS sign FROM conversations",
+    "repeat_actions": """SELECT event_id, CAST(len(list_filter(l, lambda x: x = event_type)) AS BIGINT) AS seen, len(list_filter(l, lambda x: x = event_type)) > 3 AS repeated
+        FROM (SELECT event_id, event_type, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS l FROM events)""",
+    "pii_quality_join": f"SELECT quality, count(*) AS docs, CAST(count(h.doc_id) AS BIGINT) AS with_pii FROM documents d JOIN labels USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM ({_BOTH_SQL})) h USING (doc_id) GROUP BY quality",
+}
