@@ -16,7 +16,7 @@ import zstandard
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 - 0x9E3779B97F4A7C15 % 8 + 5  # 5 mod 8: order 2**62
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

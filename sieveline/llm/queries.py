@@ -9,11 +9,13 @@ from .licenses import OP3_SQL, op3_licenses
 from .minhash import op6_minhash
 from .packing import op10_packing
 from .substring_dedup import OP9_SQL, op9_substring_dedup
+from .suffix_dedup import op2_suffix_dedup
 from .topk import OP8_SQL, op8_topk
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_licenses": op3_licenses,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
