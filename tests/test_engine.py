@@ -1,0 +1,53 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.functions import checks
+from sieveline.functions.text import mask, normalise_digits
+from sieveline.operators.rules import scan_text
+from sieveline.operators.spans import spans
+from sieveline.plans.registry import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, matches, name):
+    matches(QUERIES[name](spark, SF), ORACLE_SQL[name])
+
+
+def test_entry_has_a_schema(spark):
+    import __spark_entry__
+
+    assert set(__spark_entry__.entry(spark).columns) == {"lang", "kind", "docs", "findings"}
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_verhoeff_detects_single_digit_errors(spark):
+    rng = random.Random(1)
+    base = ["".join(rng.choice("0123456789") for _ in range(11)) for _ in range(100)]
+    rows = [(i, b + c) for i, b in enumerate(base) for c in "0123456789"]
+    df = spark.createDataFrame(rows, "i int, s string").where(checks.verhoeff(F.col("s")))
+    valid = dict(df.collect())
+    assert len(valid) == 100 and df.count() == 100  # just one check digit fits
+    wrong = [(s[:k] + d + s[k + 1 :],) for s in list(valid.values())[:20] for k in range(12) for d in "0123456789" if d != s[k]]
+    assert spark.createDataFrame(wrong, "s string").where(checks.verhoeff(F.col("s"))).count() == 0
+
+
+@pytest.mark.parametrize("text, kind, value", [
+    ("id 3456 7890 1238 ok", "aadhaar", "3456 7890 1238"), ("card 4111 1111 1111 1111.", "payment_card", "4111 1111 1111 1111"),
+    ("mail a.b@mail.example.com!", "email", "a.b@mail.example.com"), ("call +1 (743) 555-3824 now", "phone", "+1 (743) 555-3824"),
+    ("from 10.0.0.1 in", "ip_address", "10.0.0.1"), ("bank a/c 123456789 x", "bank_account", "123456789"),
+    ("id 3456 7890 1234 ok", None, None), ("order 123456789 x", None, None), ("é10.0.0.1", "ip_address", "10.0.0.1"), ("", None, None), (None, None, None),
+])
+def test_rules(spark, text, kind, value):
+    rows = scan_text(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").collect()
+    assert [(r.kind, r.value) for r in rows] == ([(kind, value)] if kind else [])
+    assert all(text[r.start : r.end] == r.value for r in rows)
+
+
+def test_text_functions(spark):
+    row = spark.createDataFrame([("priya@x.in", "४५ a٣", "ab 12")], "a string, d string, t string").select(mask(F.col("a")), mask(F.lit("1234")), mask(F.lit("4111-1111")), normalise_digits(F.col("d")), spans(F.col("t"), r"\d+")).first()
+    assert list(row)[:4] == ["p••••@x.in", "••••", "41••-••11", "45 a3"]
+    assert [tuple(x) for x in row[4]] == [(3, 5, "12")]
