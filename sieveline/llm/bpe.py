@@ -20,7 +20,9 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .blocks import bucket_count, chunk_batches, document_chunks, stabilised
 from .common import table
-from .kernels import buckets_of, chunks, ragged, squeeze, text_buffer, unsqueeze, word_hashes, words
+from .kernels import buckets_of, chunks, lean, ragged, squeeze, text_buffer, unsqueeze, word_hashes, words
 
 _U = np.uint64
 #: Words encoded by one call of the library.
-BATCH = 10_000
+BATCH = 2_000
 #: Chunks whose distinct words are merged at once.
 MERGE = 4
 #: Text bytes whose decoding is held at once.
@@ -74,6 +76,7 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _send_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         data, offsets, hashes = _block_words(b.column(1) for b in batches)
         cuts = np.searchsorted(buckets_of(hashes, buckets), np.arange(buckets + 1))
         rows = [(b, squeeze(data[offsets[i] : offsets[j]]), squeeze(np.diff(offsets[i : j + 1]).astype(np.int32))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
@@ -86,8 +89,10 @@ def _send_words(buckets: int):
 
 def _encode_bucket(path: str):
     def run(t: pa.Table) -> pa.Table:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        lean()
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
@@ -114,6 +119,12 @@ def _encode_bucket(path: str):
     return run
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> list[bytes]:
+    """The pieces with a space after each, once a worker."""
+    return [(x + " ").encode() for x in pieces_of(path)]
+
+
 def pieces_of(path: str) -> list[str]:
     """The piece of each id of a tokenizer file."""
     from tokenizers import Tokenizer
@@ -124,20 +135,20 @@ def pieces_of(path: str) -> list[str]:
 
 def _assemble(path: str, digest: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        batches = list(chunk_batches(docs))
-        _, _, index = _block_words(b.column(1) for b in batches)
+        lean()
+        _, _, index = _block_words(b.column(1) for b in chunk_batches(docs))
         order = np.argsort(answers.column("bucket").to_numpy()).tolist()
         counts = np.concatenate([unsqueeze(answers.column("counts")[i].as_py(), np.uint32) for i in order] or [np.zeros(0, np.uint32)]).astype(np.int64)
         ids = np.concatenate([unsqueeze(answers.column("ids")[i].as_py(), np.uint32) for i in order] or [np.zeros(0, np.uint32)])
         if len(counts) != len(index):
             raise ValueError(f"a block has {len(index)} words, its table {len(counts)}: the input is not stable")
         starts = np.cumsum(counts) - counts
-        pieces = [(x + " ").encode() for x in pieces_of(path)]
+        pieces = _pieces(path)
         piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         piece_len = np.array([len(x) for x in pieces], np.int64)
         piece_at = np.cumsum(piece_len) - piece_len
         out = []
-        for batch in batches:
+        for batch in chunk_batches(docs):
             n_tokens, first, second = [], [], []
             for _, _, part, offs in chunks(*text_buffer(batch.column(1)), SMALL):
                 s, e, wo = words(part, offs)
@@ -157,7 +168,9 @@ def _assemble(path: str, digest: bool):
                     second += [x.decode() for x in texts]
             kind = pa.string() if digest else pa.list_(pa.int32())
             out.append(pa.table([batch.column(0), pa.array(np.concatenate(n_tokens), pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names=["id", "n_tokens", "ids", "decoded"]))
-        return pa.concat_tables(out)
+        out = pa.concat_tables(out)
+        lean()
+        return out
 
     return run
 
