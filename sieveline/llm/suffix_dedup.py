@@ -2,8 +2,8 @@
 
 Of each document's word suffixes only those are kept that start at a minimiser:
 the smallest hash among the 8-word grams of a window of ``window`` grams.  Equal
-passages select equal places, so every repeat of ``min_words`` words has a kept
-suffix within its first ``window`` words.  Suffixes are sorted over the cluster
+passages select equal places, so a repeat of 50 words has a kept suffix within
+its first 25 words, and 24 words after it, the sort key, lie in the repeat.  Suffixes are sorted over the cluster
 (range partitioning; the key ends with id and place, so that a passage in a
 third of all documents spreads over many tasks) by the hashes of their first 8
 and next 16 words, and neighbours are compared.  Neighbours that agree are
@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import drop_settled, settle, table
 from .kernels import chunks, gram_hashes, sliding_min, text_buffer, word_hashes, words
 
-MIN_WORDS, WINDOW = 40, 17
+MIN_WORDS, WINDOW = 40, 25
 FIRST, NEXT = 8, 16
 #: Words looked at on either side of a suffix's start.
-LEFT, RIGHT = 24, 48
+LEFT, RIGHT = 26, 40
 
 
 def _minimisers(grams: np.ndarray, wo: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def _across(pairs: DataFrame) -> DataFrame:
 
 
 def _contexts(batches):
-    """The words around each place: (row, place, left count, hashes)."""
+    """The words around each place: (row, place, left count, 32-bit hashes)."""
     for batch in batches:
         out = ([], [], [], [])
         for lo, hi, part, offs in chunks(*text_buffer(batch.column(1))):
@@ -121,7 +121,7 @@ def _contexts(batches):
                     out[0].append(batch.column(0)[i].as_py())
                     out[1].append(place)
                     out[2].append(left)
-                    out[3].append(hashes[a + place - left : min(b, a + place + RIGHT)].tobytes())
+                    out[3].append(hashes[a + place - left : min(b, a + place + RIGHT)].astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "place", "left", "ctx"])
 
 
@@ -131,7 +131,7 @@ def _extend(batches):
         left, right = [], []
         la, lb = batch.column("left_a").to_pylist(), batch.column("left_b").to_pylist()
         for x, y, a, b in zip(batch.column("ctx_a").to_pylist(), batch.column("ctx_b").to_pylist(), la, lb, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             n, m = min(a, b), min(len(x) - a, len(y) - b)
             off = x[a : a + m] != y[b : b + m]
             right.append(int(off.argmax()) if off.any() else m)
@@ -153,6 +153,8 @@ def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDOW
     found = pairs.where("edge = 0").drop("k", "part", "edge").unionByName(_across(pairs))
     # rows that repeat id and text are one document
     found = settle(found.where("row_a <> row_b or place_a <> place_b").distinct(), "pairs")
+    drop_settled(rows)
+    drop_settled(pairs)
     wanted = found.select(F.explode(F.array(F.struct(F.col("row_a").alias("row"), F.col("place_a").alias("place")), F.struct(F.col("row_b").alias("row"), F.col("place_b").alias("place")))).alias("s")).select("s.row", "s.place")
     places = wanted.groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
     around = settle(texts.select("row", "text").join(places, "row").mapInArrow(_contexts, "row long, place long, left int, ctx binary").dropDuplicates(["row", "place"]), "contexts")
