@@ -62,6 +62,21 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def trimmed(run):
+    """``run`` for mapInArrow, after whose end a worker gives back what it freed:
+    an idle worker keeps nothing of its last task while others need the memory."""
+
+    def call(batches):
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return call
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

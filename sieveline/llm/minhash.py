@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 from .components import components
-from .kernels import LOWER, chunks, gram_hashes, mix, span_hash, text_buffer, word_hashes, words
+from .kernels import LOWER, chunks, gram_hashes, mix, span_hash, text_buffer, trimmed, word_hashes, words
 
 _U = np.uint64
 REGISTERS, ROWS = 96, 4
@@ -114,7 +114,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(band_keys(registers(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "n", "cid", "keys"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, n long, cid binary, keys array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, text_hash long, n long, cid binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             found = list(shingle_sets(batch.column(0), k))
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["cid", "items"])
 
-    return docs.mapInArrow(run, "cid binary, items array<long>")
+    return docs.mapInArrow(trimmed(run), "cid binary, items array<long>")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
