@@ -69,6 +69,7 @@ def trimmed(run):
     def call(batches):
         import ctypes
 
+        lean()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # another C library

@@ -46,6 +46,8 @@ _FACTORS = mix(_SEEDS) | _U(1)
 BLOCK = 1024
 #: Shingles hashed at once.
 SLICE = 1 << 13
+#: Full sets in one batch of rows.
+ROWS_OUT = 64
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -120,8 +122,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            found = list(shingle_sets(batch.column(0), k))
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["cid", "items"])
+            for i in range(0, batch.num_rows, ROWS_OUT):
+                found = list(shingle_sets(batch.column(0).slice(i, ROWS_OUT), k))
+                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["cid", "items"])
 
     return docs.mapInArrow(trimmed(run), "cid binary, items array<long>")
 
