@@ -77,7 +77,8 @@ def is_payment_card(raw: Column) -> Column:
 
 
 def is_international_phone(raw: Column) -> Column:
-    return raw.startswith("+") & F.length(F.regexp_replace(raw, r"[^0-9]", "")).between(8, 15)
+    d = F.regexp_replace(raw, r"[^0-9]", "")
+    return F.trim(raw).startswith("+") & F.length(d).between(8, 15) & ~one_digit_only(d)
 
 
 def is_pan(raw: Column) -> Column:
@@ -91,3 +92,71 @@ def is_gstin(raw: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(0), F.lit(13)), F.lit(0), lambda s, i: s + F.floor(code(i) * (1 + i % 2) / 36).cast("int") + code(i) * (1 + i % 2) % 36)
     shape = v.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$")
     return F.when(shape, F.substring(v, 1, 2).cast("int").between(1, 38) & (code(F.lit(14)) == (36 - total % 36) % 36)).otherwise(F.lit(False))
+
+
+#: Bank codes of issued IFSCs; fixed values.
+IFSC_BANKS = (
+    "SBIN HDFC ICIC UTIB PUNB BARB KKBK IDIB CNRB UBIN IOBA BKID YESB INDB FDRL KARB SIBL CBIN MAHB PSIB UCBA CIUB "
+    "TMBL KVBL DLXB CSBK RATN IBKL AUBL BDBL ESFB UJVN SURY JSFB FINO PYTM AIRP NSPB DBSS CITI HSBC SCBL DEUT BOFA "
+    "JPMC BNPA ORBC ANDB CORP SYNB VIJB ALLA UTBI DENA JAKA KACE NKGS SVCB COSB ABHY TJSB APGB KGRB PKGB MSCI GSCB "
+    "HPSC RSCB TSAB IPOS NTBL SRCB SDCB ZCBL APMC HARC IDFB BACB KUCB PJSB SPCB TBSB VARA ADCC HCBL VSBL MCBL NICB"
+).split()
+#: State codes of licences and registrations; fixed values.
+STATES = "AN AP AR AS BR CH CG CT DD DL DN GA GJ HP HR JH JK KA KL LA LD MH ML MN MP MZ NL OD OR PB PY RJ SK TN TR TS UK UA UP WB".split()
+
+
+def _upper(raw: Column, drop: str = r"\s") -> Column:
+    return F.upper(F.regexp_replace(raw, drop, ""))
+
+
+def is_ifsc(raw: Column) -> Column:
+    return _upper(raw).rlike(r"^[A-Z]{4}0[A-Z0-9]{6}$")
+
+
+def is_known_ifsc(raw: Column) -> Column:
+    return is_ifsc(raw) & F.substring(_upper(raw), 1, 4).isin(IFSC_BANKS)
+
+
+def is_indian_mobile(raw: Column) -> Column:
+    """Ten digits from 6-9 on; 91 and 0 are prefixes only where they make the number too long."""
+    d = F.regexp_replace(raw, r"[\s()+-]", "")
+    local = F.regexp_replace(d, r"^(?:91(?=[0-9]{10}$)|0(?=[0-9]{10}$))", "")
+    return local.rlike(r"^[6-9][0-9]{9}$") & ~one_digit_only(local)
+
+
+def is_indian_landline(raw: Column) -> Column:
+    d = F.regexp_replace(raw, r"[\s()-]", "")
+    return d.rlike(r"^0[1-9][0-9]{8,9}$") & ~one_digit_only(F.substring(d, F.lit(2), F.length(d)))
+
+
+def is_indian_passport(raw: Column) -> Column:
+    return _upper(raw).rlike(r"^[A-PR-WY][1-9][0-9]{5}[1-9]$")
+
+
+def is_voter_id(raw: Column) -> Column:
+    return _upper(raw).rlike(r"^[A-Z]{3}[0-9]{7}$")
+
+
+def is_vehicle_number(raw: Column) -> Column:
+    return _upper(raw, r"[\s-]").rlike(r"^[A-Z]{2}[0-9]{1,2}[A-Z]{0,3}[0-9]{4}$")
+
+
+def is_driving_licence(raw: Column, last_year: int | None = None) -> Column:
+    """State, office, year of issue (1950 to ``last_year``, by default next year), serial."""
+    v = _upper(raw, r"[\s-]")
+    last = F.year(F.current_date()) + 1 if last_year is None else F.lit(last_year)
+    shape = v.rlike(r"^[A-Z]{2}[0-9]{2}(19|20)[0-9]{9}$")
+    return F.when(shape, F.substring(v, 1, 2).isin(STATES) & F.substring(v, 5, 4).cast("int").between(F.lit(1950), last)).otherwise(F.lit(False))
+
+
+def is_ssn(raw: Column) -> Column:
+    return raw.rlike(r"^(?!000|666|9)[0-9]{3}[- ](?!00)[0-9]{2}[- ](?!0000)[0-9]{4}$")
+
+
+def is_iban(raw: Column) -> Column:
+    """Modulo 97 over the digits, letters counting as 10 to 35, the first four last."""
+    v = _upper(raw)
+    moved = F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))
+    code = lambda i: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(moved, i, F.lit(1))) - 1
+    rest = F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), lambda r, i: (r * F.when(code(i) > 9, 100).otherwise(10) + code(i)) % 97)
+    return F.when(v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), rest == 1).otherwise(F.lit(False))

@@ -31,14 +31,43 @@ class Rule:
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _CARD = r"\b(?:\d[ -]?){12,18}\d\b"
+_IFSC = r"\b[A-Za-z]{4}0[A-Za-z0-9]{6}\b"
+#: Not glued to other digits or to the prefix of a reference number.
+_FREE = r"(?<!\d)(?<![A-Za-z0-9][-/#])"
+#: Payment handles and issuers' key shapes; fixed values.
+_HANDLES = (
+    "ok(?:hdfcbank|icici|axis|sbi)|wa(?:hdfcbank|icici|axis|sbi)|paytm|ybl|ibl|axl|upi|apl|yapl|rapl|jupiteraxis|fam|superyes|icici|hdfcbank|sbi|axisbank|kotak|"
+    "indus|federal|barodampay|cnrb|pnb|boi|uboi|idfcbank|yesbank|airtel|freecharge|mobikwik|pingpay|slice|timecosmos|naviaxis|niyoicici|postbank|dbs|abfspay|citi|"
+    "hsbc|sc|rbl|kmbl|aubank|dlb|kbl|sib|tjsb|ikwik|pockets|goaxis|amazonpay|shriramhdfcbank|ptyes|ptaxis|ptsbi|pthdfc"
+)
+_KEYS = (
+    r"(?:sk|pk|rk)[-_](?:live|test|proj|ant)[-_][A-Za-z0-9_-]{12,}|sk-[A-Za-z0-9_-]{20,}|ghp_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|"
+    r"xox[baprs]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|"
+    r"nvapi-[A-Za-z0-9_-]{20,}|hf_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20}"
+)
 #: In the order in which they are evaluated; patterns are fixed values.
 RULES = [
     Rule(1, "aadhaar", r"\b[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", "certain", r"\d{4}", checks.is_aadhaar_vid),
     Rule(2, "aadhaar", r"\b[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}\b", "certain", r"\d{4}", checks.is_aadhaar),
     Rule(3, "payment_card", _CARD, "certain", r"\d", lambda v: checks.is_payment_card(v) & checks.card_brand(checks.compact(v)).isNotNull()),
     Rule(4, "payment_card", _CARD, "medium", r"\d", lambda v: checks.is_payment_card(v) & checks.card_brand(checks.compact(v)).isNull(), r"card|credit|debit|visa|master(?:card)?|rupay|amex|maestro|payment|cvv"),
+    Rule(5, "pan", r"\b[A-Za-z]{5}\s?\d{4}\s?[A-Za-z]\b", "certain", r"[A-Za-z]\s?\d{4}", checks.is_pan),
+    Rule(6, "gstin", r"\b\d{2}\s?[A-Za-z]{5}\s?\d{4}\s?[A-Za-z]\s?[0-9A-Za-z]\s?[Zz]\s?[0-9A-Za-z]\b", "certain", r"[A-Za-z]\s?\d{4}", checks.is_gstin),
+    Rule(7, "ifsc", _IFSC, "certain", r"[A-Za-z]{4}0", checks.is_known_ifsc),
+    Rule(8, "ifsc", _IFSC, "high", r"[A-Za-z]{4}0", lambda v: checks.is_ifsc(v) & ~checks.is_known_ifsc(v), r"ifsc|bank|branch|neft|rtgs|imps|swift"),
     Rule(9, "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "certain", "@"),
+    Rule(11, "upi_id", rf"(?i:\b[A-Za-z0-9._-]{{3,}}@(?:{_HANDLES})\b)", "high", "@"),
+    Rule(12, "phone", rf"{_FREE}(?:\+\s?91[\s-]?|\(\+?91\)[\s-]?|91[\s-]|0[\s-]?)?(?:[6-9]\d{{9}}|[6-9]\d{{4}}[\s-]\d{{5}}|[6-9]\d{{3}}[\s-]\d{{3}}[\s-]\d{{3}}|[6-9]\d{{2}}[\s-]\d{{3}}[\s-]\d{{4}})(?!\d)", "high", r"[6-9]\d{2}", checks.is_indian_mobile),
+    Rule(13, "phone", rf"{_FREE}(?:\+\s?91[\s-]?|0[\s-]?)?[6-9]\d{{3}}\s\d{{6}}(?!\d)", "high", r"\d{4}\s\d{6}", checks.is_indian_mobile, r"mob|mobile|ph|phone|tel|telephone|call|whatsapp|contact|cell|sms"),
+    Rule(14, "phone", rf"{_FREE}0\d{{2,4}}[\s-]?\d{{3,4}}[\s-]?\d{{3,4}}(?!\d)", "medium", r"0\d{2}", checks.is_indian_landline, r"tel|telephone|phone|ph|landline|office|contact|call|fax|helpline|toll[\s-]?free|board|reception"),
     Rule(15, "phone", r"\+\d{1,3}[\s-]?(?:\(\d{1,4}\)[\s-]?)?\d(?:[\s-]?\d){6,12}", "medium", r"\+\d", checks.is_international_phone),
+    Rule(16, "passport", r"\b[A-PR-WYa-prwy][1-9]\d{5}[1-9]\b", "medium", r"[A-Za-z]\d{7}", checks.is_indian_passport, r"passport|travel document"),
+    Rule(17, "voter_id", r"\b[A-Z]{3}\d{7}\b", "medium", r"[A-Z]{3}\d{7}", checks.is_voter_id, r"voter|epic|election|elector'?s?"),
+    Rule(18, "vehicle_number", r"\b[A-Z]{2}[\s-]?\d{1,2}[\s-]?[A-Z]{1,3}[\s-]?\d{4}\b", "medium", r"[A-Z][\s-]?\d{4}", checks.is_vehicle_number),
+    Rule(19, "driving_licence", r"\b[A-Za-z]{2}[\s-]?\d{2}[\s-]?(?:19|20)\d{2}[\s-]?\d{7}\b", "high", r"\d{7}", checks.is_driving_licence),
+    Rule(20, "ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", "high", r"\d{3}-\d{2}-\d{4}", checks.is_ssn),
+    Rule(21, "bank_account", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", "certain", r"[A-Z]{2}\d{2}", checks.is_iban),
+    Rule(25, "secret", rf"\b(?:{_KEYS})", "certain", r"[sprk]k[-_]|gh|xox|AKIA|AIza|eyJ|nvapi-|hf_|glpat-"),
     Rule(29, "ip_address", rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", "high", r"\d\.\d"),
     Rule(31, "bank_account", r"\b\d{9,18}\b", "low", r"\d{9}", None, r"a\s*[/l|1]\s*c|acct|account|bank|ifsc|branch|passbook"),
 ]

@@ -101,6 +101,10 @@ QUERIES = {
     "email_spans": _values(9),
     "ip_spans": _values(29),
     "intl_phone_spans": _values(15),
+    "pan_spans": _values(5),
+    "ifsc_spans": _values(7),
+    "vehicle_spans": _values(18),
+    "secret_spans": _values(25),
     "pii_by_lang_kind": pii_by_lang_kind,
     "masked_values": masked_values,
     "card_luhn_brand": card_luhn_brand,
@@ -117,7 +121,12 @@ QUERIES = {
 ORACLE_SQL = {
     "email_spans": _values_sql(_EMAIL),
     "ip_spans": _values_sql(_IP),
-    "intl_phone_spans": f"SELECT * FROM ({_values_sql(_PHONE)}) WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 8 AND 15",
+    "intl_phone_spans": f"""SELECT doc_id, value, n FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_values_sql(_PHONE)}))
+        WHERE length(d) BETWEEN 8 AND 15 AND d <> repeat(d[1], length(d))""",
+    "pan_spans": f"SELECT * FROM ({_values_sql(BY_NUMBER[5].pattern)}) WHERE regexp_matches(upper(regexp_replace(value, '\\s', '', 'g')), '^[A-Z]{{3}}[PCHFATBLJGK][A-Z][0-9]{{4}}[A-Z]$')",
+    "ifsc_spans": f"SELECT * FROM ({_values_sql(BY_NUMBER[7].pattern)}) WHERE list_contains({checks.IFSC_BANKS}, upper(left(value, 4)))",
+    "vehicle_spans": _values_sql(BY_NUMBER[18].pattern),
+    "secret_spans": _values_sql(BY_NUMBER[25].pattern),
     "pii_by_lang_kind": f"SELECT lang, kind, count(*) AS docs, CAST(sum(n) AS BIGINT) AS findings FROM (SELECT doc_id, kind, count(*) AS n FROM ({_BOTH_SQL}) GROUP BY ALL) JOIN documents USING (doc_id) GROUP BY ALL",
     "masked_values": f"""SELECT doc_id, kind, CASE WHEN kind = 'email' THEN value[1] || repeat('{_DOT}', greatest(1, len(split_part(value, '@', 1)) - 1)) || '@' || split_part(value, '@', 2)
         ELSE left(value, 2) || regexp_replace(substr(value, 3, len(value) - 4), '[^\\s-]', '{_DOT}', 'g') || right(value, 2) END AS masked, count(*) AS n FROM ({_BOTH_SQL}) GROUP BY ALL""",
