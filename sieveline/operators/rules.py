@@ -73,9 +73,9 @@ RULES = [
 ]
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """The validated spans of one rule, values from the original text."""
-    plain = normalise_digits(text)
+def rule_spans(text: Column, plain: Column, rule: Rule) -> Column:
+    """The validated spans of one rule in ``plain``, the text with digits folded;
+    values from the original text."""
     found = F.when(plain.rlike(rule.gate), spans(plain, rule.pattern))
     if rule.check:
         found = F.filter(found, lambda x: rule.check(x["value"]))
@@ -94,8 +94,8 @@ def scan_text(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] | Non
 
     All rules run in one projection; overlaps are settled within the row, so
     nothing is shuffled.  Null texts have no findings."""
-    arrays = [F.coalesce(rule_spans(F.col("t"), r), F.array()) for r in rules or RULES]
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
+    arrays = [F.coalesce(rule_spans(F.col("t"), F.col("p"), r), F.array()) for r in rules or RULES]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).withColumn("p", normalise_digits(F.col("t")))
     found = rows.select("id", F.concat(*arrays).alias("f")).where(F.size("f") > 0)
     each = found.select("id", F.explode(settle_spans(F.col("f"))).alias("x"))
     return each.select(F.col("id").alias(id_col), "x.kind", "x.confidence", "x.rule", "x.start", "x.end", "x.value")
