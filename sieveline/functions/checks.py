@@ -160,3 +160,29 @@ def is_iban(raw: Column) -> Column:
     code = lambda i: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(moved, i, F.lit(1))) - 1
     rest = F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), lambda r, i: (r * F.when(code(i) > 9, 100).otherwise(10) + code(i)) % 97)
     return F.when(v.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), rest == 1).otherwise(F.lit(False))
+
+
+def is_mrz_line(raw: Column) -> Column:
+    """A line of a machine-readable zone, with slack for misread fillers."""
+    line = F.regexp_replace(raw, r"\s", "")
+    fillers = F.regexp_count(line, F.lit("[<«]"))
+    padded = (fillers >= 2) & line.rlike(r"[<«KL]{8,}\d{0,2}$") & line.rlike(r"^[PIVAC][A-Z<«]")
+    dense = (fillers >= 3) & line.rlike("[A-Z]") & line.rlike(r"[<«]{2}|\d{6}")
+    return line.rlike(r"^[A-Z0-9<«]{28,50}$") & (padded | dense)
+
+
+#: Endings of an address in words, and words before "dot" in prose; fixed values.
+WORDED_ENDINGS = "com in org net co edu gov io ai uk us de fr info biz me app dev xyz ac nic gov.in co.in ac.in".split()
+NOT_A_DOMAIN = "the a an my our your his her their this that it them us me you all any some home work noon night day one".split()
+_SPELT = r"(?i:\s*(?:\[\s*(?:at|dot)\s*\]|\(\s*(?:at|dot)\s*\)|\{\s*(?:at|dot)\s*\}|<\s*(?:at|dot)\s*>|\s+(?:at|dot)\s+)\s*)"
+
+
+def is_obfuscated_email(raw: Column) -> Column:
+    """An address with "at" and "dot" spelt out: brackets or capitals are meant so;
+    plain words need a known ending and a domain that is no common word."""
+    text = F.trim(raw)
+    parts = F.filter(F.split(text, _SPELT), lambda x: x != "")
+    ending, domain = F.lower(F.try_element_at(parts, F.lit(-1))), F.lower(F.try_element_at(parts, F.lit(2)))
+    meant = text.rlike(r"(?i:[\[({<]\s*(?:at|dot)\s*[\])}>])") | text.rlike(r"\s(?:AT|DOT)\s")
+    said = ending.isin(WORDED_ENDINGS) & ~domain.isin(NOT_A_DOMAIN)
+    return (F.size(parts) >= 3) & F.when(meant, ending.rlike("^[a-z]{2,6}$")).otherwise(said)

@@ -83,3 +83,66 @@ def injection(text: Column) -> Column:
     """The first sign found, in the order of the patterns; null if none."""
     found = [F.regexp_extract(text, f"(?i){p}", 0) for p in INJECTIONS]
     return F.coalesce(*[F.when(x != "", x) for x in found])
+
+_HOST = r"(?i)^(localhost|(?:[\w-]+\.)+[a-z][a-z0-9-]*|\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-f:]+\])(:\d{1,5})?$"
+_WEB = r"(?i)^https?://"
+#: Where words that are no address are searched; a fixed value.
+SEARCH = "https://www.google.com/search?q="
+
+
+def is_address(raw: Column) -> Column:
+    """Whether words are an address rather than something to search for."""
+    t = F.trim(raw)
+    return t.rlike(_WEB) | ((t != "") & ~t.rlike(r"\s") & F.element_at(F.split(t, "[/?#]"), 1).rlike(_HOST))
+
+
+def encode_component(text: Column) -> Column:
+    """Percent-encoding that leaves ``A-Za-z0-9 - _ . ! ~ * ' ( )``."""
+    out = F.url_encode(text)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def normalise_url(raw: Column) -> Column:
+    """An address with its scheme (http for local hosts), or a search for the words."""
+    t = F.trim(raw)
+    scheme = F.when(t.rlike(r"(?i)^(localhost|\d{1,3}(?:\.\d{1,3}){3}|\[)"), F.lit("http://")).otherwise(F.lit("https://"))
+    return F.when(t.rlike(_WEB), t).when(is_address(t), F.concat(scheme, t)).otherwise(F.concat(F.lit(SEARCH), encode_component(t)))
+
+
+def fold(text: Column) -> Column:
+    """Lower case, whatever is no letter or digit as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def collapse(text: Column, limit: int = 300) -> Column:
+    """White space as one space, trimmed, cut after ``limit`` characters with an ellipsis; null as empty."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit)), F.lit("…"))).otherwise(t)
+
+
+def mask_short(value: Column) -> Column:
+    """Two characters at either end; four or fewer as dots."""
+    n = F.length(value)
+    return F.when(n <= 4, F.repeat(F.lit(DOT), n)).otherwise(F.concat(F.left(value, F.lit(2)), F.repeat(F.lit(DOT), n - 4), F.right(value, F.lit(2))))
+
+
+def preview(value: Column) -> Column:
+    """The shape of a value: up to two characters as dots, up to six the first one, else two at either end and at most eight dots."""
+    n = F.length(value)
+    long = F.concat(F.left(value, F.lit(2)), F.repeat(F.lit(DOT), F.least(F.lit(8), n - 4)), F.right(value, F.lit(2)))
+    return F.when(n <= 2, F.repeat(F.lit(DOT), n)).when(n <= 6, F.concat(F.left(value, F.lit(1)), F.repeat(F.lit(DOT), n - 1))).otherwise(long)
+
+
+TOKEN = r"<([A-Z][A-Z0-9]*_\d+)>"
+
+
+def escape_tokens(text: Column) -> Column:
+    """Text that looks like a token is made to look otherwise."""
+    return F.regexp_replace(text, TOKEN, "‹$1›")
+
+
+def tokens_in(text: Column) -> Column:
+    """The distinct tokens in a text, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))))
