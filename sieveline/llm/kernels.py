@@ -143,6 +143,14 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * _pow(_BASE_INV, m + 1)[: m - k + 1])
 
 
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the word hashes of each range, and of its length."""
+    sums = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * _pow(_BASE, len(hashes)), out=sums[1:])
+    x = (sums[ends] - sums[starts]) * _pow(_BASE_INV, len(hashes) + 1)[starts]
+    return mix(x + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def span_hash(hashes: np.ndarray) -> int:
     """Hash of a whole word-hash sequence, of the same family."""
     return int(gram_hashes(hashes, len(hashes))[0])
@@ -175,6 +183,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first minimum of each ``width`` consecutive values, by doubling."""
+    out, have = np.arange(len(x)), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = out[:-step], out[step:]
+        out = np.where(x[a] <= x[b], a, b)
+        have += step
+    return out
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_offsets: np.ndarray) -> list[bytes]:
     """For each document its words joined by one space."""
     lengths = ends - starts + 1

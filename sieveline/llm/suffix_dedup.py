@@ -1,15 +1,23 @@
 """Suffix-array dedup with sparse suffixes.
 
 Of each document's word suffixes only those are kept that start at a minimiser:
-the smallest hash among the 8-word grams of a window of ``window`` grams.  Equal
-passages select equal places, so a repeat of 50 words has a kept suffix within
-its first 25 words, and 24 words after it, the sort key, lie in the repeat.  Suffixes are sorted over the cluster
-(range partitioning; the key ends with id and place, so that a passage in a
-third of all documents spreads over many tasks) by the hashes of their first 8
-and next 16 words, and neighbours are compared.  Neighbours that agree are
-extended left and right on the words around them; matches of at least
-``min_words`` words are reported for the later of the two.  Only suffixes with
-a neighbour go back to their texts.
+each stretch of ``min_words`` words selects the smallest hash among its grams of
+``min_words - window + 1`` words, the sort key.  Equal stretches select equal
+places, so every repeat of ``min_words`` words holds a kept suffix and its whole
+key.  Suffixes are sorted over the cluster (range partitioning; the order ends
+with id and place, so that a passage in a third of all documents spreads over
+many tasks), and the key is extended in two rounds:
+
+1. by all stretches that selected the suffix: of neighbours that agree in them,
+   the later repeats the earlier;
+2. in groups that agree in the key but not in all stretches, by each stretch
+   alone, for the first suffix of each kind (the others repeat it).  Only these
+   go back to their texts.
+
+Neighbours of equal stretches are in ascending order of id and place, so every
+stretch but the first of its kind is found: a word is reported exactly if it
+lies in ``min_words`` words that occur at an earlier place.  Longer matches are
+unions of stretches; the order behind ``min_words`` words would not change them.
 
 Defined edge cases: null and short texts have no suffixes; rows with a null id
 take no part; a repeat within one document counts, the later place refers to
@@ -21,61 +29,118 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_settled, settle, table
-from .kernels import chunks, gram_hashes, sliding_min, text_buffer, word_hashes, words
+from .kernels import chunks, gram_hashes, mix, ragged, range_hashes, sliding_argmin, starts_within, text_buffer, word_hashes, words
 
 MIN_WORDS, WINDOW = 40, 25
-FIRST, NEXT = 8, 16
-#: Words looked at on either side of a suffix's start.
-LEFT, RIGHT = 26, 40
 
 
-def _minimisers(grams: np.ndarray, wo: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Word positions that are the least gram of some window inside a document."""
-    chosen = []
-    for a, b in zip(wo.tolist(), wo[1:].tolist(), strict=False):
-        some = grams[a : max(a, b - FIRST + 1)]
-        if len(some) >= window:
-            least = sliding_min(some, window)
-            view = np.lib.stride_tricks.sliding_window_view(some, window)
-            places = np.arange(len(least)) + (view == least[:, None]).argmax(axis=1)
-            chosen.append(a + np.unique(places))
-    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-
-
-def suffixes(texts: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, id, row, place) of texts (id, text, row)."""
+def suffixes(texts: DataFrame, min_words: int, window: int) -> DataFrame:
+    """(k, m, id, row, place, back, n) of texts (id, text, row): the hash of the key, the
+    hash of all stretches that selected it, and where in the document it stands; the
+    first of the n stretches starts ``back`` words before."""
+    gram = min_words - window + 1
 
     def run(batches):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, _, part, offs in chunks(*text_buffer(batch.column(1))):
                 starts, ends, wo = words(part, offs)
-                hashes = word_hashes(part, starts, ends)
-                grams = gram_hashes(hashes, FIRST)
-                at = _minimisers(grams, wo, window, FIRST)
+                at, doc = starts_within(wo, min_words)
                 if not len(at):
                     continue
-                doc = np.searchsorted(wo, at, side="right") - 1
-                rest = wo[doc + 1] - at - FIRST
-                long = gram_hashes(hashes, FIRST + NEXT)
-                second = np.where(rest >= NEXT, long[np.minimum(at, max(len(long) - 1, 0))] if len(long) else 0, np.uint64(0))
-                cols = [grams[at].view(np.int64), second.view(np.int64), ids[doc + lo], keys[doc + lo], at - wo[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "id", "row", "place"])
+                hashes = word_hashes(part, starts, ends)
+                grams = gram_hashes(hashes, gram)
+                chosen = sliding_argmin(grams, window)[at]
+                first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
+                n = np.diff(np.append(first, len(at)))
+                place, start, doc = chosen[first], at[first], doc[first]
+                back = place - start
+                m = mix(range_hashes(hashes, start, start + n - 1 + min_words) + back.astype(np.uint64))
+                cols = [grams[place].view(np.int64), m.view(np.int64), ids[doc + lo], keys[doc + lo], place - wo[doc]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(back, pa.int32()), pa.array(n, pa.int32())], names=["k", "m", "id", "row", "place", "back", "n"])
+
+    return texts.mapInArrow(run, "k long, m long, id long, row long, place long, back int, n int")
+
+
+TIED = "id long, row long, start long, n long, ref_id long, ref_start long, open boolean"
+
 
-    return texts.mapInArrow(run, "k1 long, k2 long, id long, row long, place long")
+def _tied(batches):
+    """Of sorted suffixes those that repeat their neighbour in all n stretches, and, with
+    ``open``, those whose stretches must be compared one by one: the first of each kind
+    in a group of several kinds.  A group may go on in the partitions beside, so the
+    first of this partition's first and last kind are open too."""
+    head = last = None
+    sent = False
+
+    def rows(a, b, is_open):
+        at = [c.astype(np.int64) for c in (a[2], a[3], a[4] - a[5], a[6], b[2], b[4] - b[5])]
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in at], pa.array(np.full(len(at[0]), is_open))], names=[x.split()[0] for x in TIED.split(", ")])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if last is None:
+            head, sent = [c[:1] for c in cols], True
+            yield rows(head, head, True)
+        else:
+            cols = [np.concatenate((x, c)) for x, c in zip(last, cols, strict=True)]
+        group = cols[0][1:] == cols[0][:-1]
+        kind = group & (cols[1][1:] == cols[1][:-1])
+        # rows that repeat id and text are one document
+        moved = np.any([c[1:] != c[:-1] for c in cols[2:5]], axis=0)
+        again = np.flatnonzero(kind & moved)
+        if len(again):
+            yield rows([c[again + 1] for c in cols], [c[again] for c in cols], False)
+        new = np.flatnonzero(~kind)
+        if len(new):
+            heads = [np.concatenate((h, c[new + 1])) for h, c in zip(head, cols, strict=True)]
+            several = np.concatenate(([False], group[new], [False]))
+            send = several[1:] | several[:-1]
+            keep = np.flatnonzero(send[:-1] & ~np.append(sent, np.zeros(len(new) - 1, bool)))
+            if len(keep):
+                some = [h[keep] for h in heads]
+                yield rows(some, some, True)
+            head, sent = [h[-1:] for h in heads], bool(several[-2])
+            if sent:
+                yield rows(head, head, True)
+        last = [c[-1:] for c in cols]
+    if last is not None and not sent:
+        yield rows(head, head, True)
+
+
+def _stretches(min_words: int):
+    """(k, id, row, place) of each single stretch of texts (row, id, text, spans)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys, spans = batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(3)
+            flat, owner = spans.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(spans).to_numpy())
+            start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+            for lo, hi, part, offs in chunks(*text_buffer(batch.column(2))):
+                use = slice(*np.searchsorted(owner, (lo, hi)))
+                starts, ends, wo = words(part, offs)
+                grams = gram_hashes(word_hashes(part, starts, ends), min_words)
+                at, doc = ragged(start[use] + wo[owner[use] - lo], n[use]), np.repeat(owner[use], n[use])
+                cols = [grams[at].view(np.int64), ids[doc], keys[doc], at - wo[doc - lo]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k", "id", "row", "place"])
+
+    return run
 
 
 PAIR = "k long, id_a long, row_a long, place_a long, id_b long, row_b long, place_b long, part int, edge int"
 
 
 def _neighbours(batches):
-    """Of sorted suffixes the pairs of neighbours with equal first words (edge 0),
-    and the first (1) and last (2) suffix of the partition."""
+    """Of sorted stretches the pairs of neighbours with equal words (edge 0),
+    and the first (1) and last (2) stretch of the partition."""
     part, last, names = TaskContext.get().partitionId(), None, [x.split()[0] for x in PAIR.split(", ")]
 
     def rows(k, a, b, edge):
@@ -88,15 +153,15 @@ def _neighbours(batches):
             continue
         cols = [c.to_numpy() for c in batch.columns]
         if last is None:
-            yield rows(cols[0][:1], [c[:1] for c in cols[2:]], [c[:1] for c in cols[2:]], 1)
+            yield rows(cols[0][:1], [c[:1] for c in cols[1:]], [c[:1] for c in cols[1:]], 1)
         else:
             cols = [np.concatenate((x, c)) for x, c in zip(last, cols, strict=True)]
         same = np.flatnonzero(cols[0][1:] == cols[0][:-1])
         if len(same):
-            yield rows(cols[0][same], [c[same] for c in cols[2:]], [c[same + 1] for c in cols[2:]], 0)
+            yield rows(cols[0][same], [c[same] for c in cols[1:]], [c[same + 1] for c in cols[1:]], 0)
         last = [c[-1:] for c in cols]
     if last is not None:
-        yield rows(last[0], last[2:], last[2:], 2)
+        yield rows(last[0], last[1:], last[1:], 2)
 
 
 def _across(pairs: DataFrame) -> DataFrame:
@@ -107,64 +172,28 @@ def _across(pairs: DataFrame) -> DataFrame:
     return near.select(*[F.col(f"p.{c}_a").alias(f"{c}_a") for c in ("id", "row", "place")], *[F.col(f"s.{c}_a").alias(f"{c}_b") for c in ("id", "row", "place")])
 
 
-def _contexts(batches):
-    """The words around each place: (row, place, left count, 32-bit hashes)."""
-    for batch in batches:
-        out = ([], [], [], [])
-        for lo, hi, part, offs in chunks(*text_buffer(batch.column(1))):
-            starts, ends, wo = words(part, offs)
-            hashes = word_hashes(part, starts, ends)
-            for i in range(lo, hi):
-                a, b = int(wo[i - lo]), int(wo[i - lo + 1])
-                for place in batch.column(2)[i].as_py():
-                    left = min(LEFT, place)
-                    out[0].append(batch.column(0)[i].as_py())
-                    out[1].append(place)
-                    out[2].append(left)
-                    out[3].append(hashes[a + place - left : min(b, a + place + RIGHT)].astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "place", "left", "ctx"])
-
-
-def _extend(batches):
-    """Length of agreement left and right of each pair."""
-    for batch in batches:
-        left, right = [], []
-        la, lb = batch.column("left_a").to_pylist(), batch.column("left_b").to_pylist()
-        for x, y, a, b in zip(batch.column("ctx_a").to_pylist(), batch.column("ctx_b").to_pylist(), la, lb, strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            n, m = min(a, b), min(len(x) - a, len(y) - b)
-            off = x[a : a + m] != y[b : b + m]
-            right.append(int(off.argmax()) if off.any() else m)
-            off = x[a - n : a][::-1] != y[b - n : b][::-1]
-            left.append(int(off.argmax()) if off.any() else n)
-        keep = [batch.column(c) for c in ("id_a", "row_a", "place_a", "id_b", "row_b", "place_b")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["id_a", "row_a", "place_a", "id_b", "row_b", "place_b", "l", "r"])
-
-
 def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Repeated spans: id, start (word), n_words, ref_id, ref_start.  Each word
     lies in one span of a document at most; adjoining matches are one span, with
     the reference of its first match."""
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("row", F.xxhash64("id", "text"))
-    rows = settle(suffixes(texts, window), "suffixes")
-    ordered = rows.repartitionByRange("k1", "k2", "id", "row", "place").sortWithinPartitions("k1", "k2", "id", "row", "place")
-    pairs = settle(ordered.mapInArrow(_neighbours, PAIR), "neighbours")
+    rows = settle(suffixes(texts, min_words, window), "suffixes")
+    order = ["k", "m", "id", "row", "place"]
+    tied = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_tied, TIED), "tied")
+    drop_settled(rows)
+    wanted = tied.where("open").groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    opened = texts.join(wanted, "row").select("row", "id", "text", "spans").mapInArrow(_stretches(min_words), "k long, id long, row long, place long")
+    single = settle(opened, "stretches")
+    order = ["k", "id", "row", "place"]
+    pairs = settle(single.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, PAIR), "neighbours")
+    drop_settled(single)
     found = pairs.where("edge = 0").drop("k", "part", "edge").unionByName(_across(pairs))
     # rows that repeat id and text are one document
-    found = settle(found.where("row_a <> row_b or place_a <> place_b").distinct(), "pairs")
-    drop_settled(rows)
-    drop_settled(pairs)
-    wanted = found.select(F.explode(F.array(F.struct(F.col("row_a").alias("row"), F.col("place_a").alias("place")), F.struct(F.col("row_b").alias("row"), F.col("place_b").alias("place")))).alias("s")).select("s.row", "s.place")
-    places = wanted.groupBy("row").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    around = settle(texts.select("row", "text").join(places, "row").mapInArrow(_contexts, "row long, place long, left int, ctx binary").dropDuplicates(["row", "place"]), "contexts")
-    side = lambda x: around.select(*[F.col(c).alias(f"{c}_{x}") for c in ("row", "place", "left", "ctx")])
-    both = found.join(side("a"), ["row_a", "place_a"]).join(side("b"), ["row_b", "place_b"])
-    both = both.select("id_a", "row_a", "place_a", "left_a", "ctx_a", "id_b", "row_b", "place_b", "left_b", "ctx_b")
-    long = both.mapInArrow(_extend, "id_a long, row_a long, place_a long, id_b long, row_b long, place_b long, l long, r long").where(F.col("l") + F.col("r") >= min_words)
-    a, b = (F.struct(F.col(f"id_{x}").alias("id"), F.col(f"row_{x}").alias("row"), (F.col(f"place_{x}") - F.col("l")).alias("start")) for x in "ab")
-    match = long.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"), (F.col("l") + F.col("r")).alias("n"))
-    spans = match.select("x.id", "x.row", "x.start", (F.col("x.start") + F.col("n")).alias("end"), F.col("y.id").alias("ref_id"), F.col("y.start").alias("ref_start"))
+    found = found.where("row_a <> row_b or place_a <> place_b")
+    spans = found.select(F.col("id_b").alias("id"), F.col("row_b").alias("row"), F.col("place_b").alias("start"), (F.col("place_b") + min_words).alias("end"), F.col("id_a").alias("ref_id"), F.col("place_a").alias("ref_start"))
+    whole = tied.where("not open").select("id", "row", "start", (F.col("start") + F.col("n") - 1 + min_words).alias("end"), "ref_id", "ref_start")
+    spans = spans.unionByName(whole)
     per_doc = Window.partitionBy("id", "row").orderBy("start", "end", "ref_id", "ref_start")
     reach = F.max("end").over(per_doc.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(per_doc)

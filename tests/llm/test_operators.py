@@ -235,3 +235,43 @@ def test_pipeline_stages_keep_columns(spark, docs):
     assert 2 not in kept and kept[10] == "tail" and kept[1] == BASE and 3 in kept
     assert corpus_pipeline.run(spark, SF).count() > 0
 
+
+
+def repeated_words(rows, n):
+    """(id, word) of all words in n words that occur at an earlier (id, place)."""
+    seen, out = {}, set()
+    for i, text in sorted(rows):
+        w = WORD.findall(text)
+        for at in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[at : at + n]), (i, at)) != (i, at):
+                out |= {(i, p) for p in range(at, at + n)}
+    return out
+
+
+def near_copies():
+    """Groups of near copies with an edit every 60 or 30 words, and passages of 40-60 words among foreign ones."""
+    rng, rows = random.Random(11), []
+    for group, (copies, every) in enumerate([(20, 60), (20, 30), (100, 60), (100, 30)]):
+        base = words(400, 50 + group).split()
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(f"z{rng.random()}" if rng.random() < 1 / every else w for w in base)))
+    shared = words(60, 90).split()
+    for n in (60, 30, 50, 40, 41, 39, 48, 60):
+        rows.append((len(rows), " ".join([*words(30, 100 + n + len(rows)).split(), *shared[:n], *words(30, 300 + len(rows)).split()])))
+    rows.append((len(rows), " ".join(["same"] * 100)))
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    return [(i, t) for i, (_, t) in zip(ids, rows, strict=True)]
+
+
+def test_suffix_dedup_is_brute_force_on_near_copies(spark):
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: WORD.findall(t) for i, t in rows}
+    got = set()
+    for r in suffix_dedup.repeats(df.repartition(5)).collect():
+        got |= {(r.doc_id, p) for p in range(r.start, r.start + r.n_words)}
+        first = slice(r.start, r.start + 40), slice(r.ref_start, r.ref_start + 40)
+        assert texts[r.doc_id][first[0]] == texts[r.ref_id][first[1]] and (r.ref_id, r.ref_start) < (r.doc_id, r.start)
+    want = repeated_words(rows, 40)
+    assert got == want, f"{len(want - got)} of {len(want)} words are missing, {len(got - want)} are too many"
