@@ -275,3 +275,16 @@ def test_suffix_dedup_is_brute_force_on_near_copies(spark):
         assert texts[r.doc_id][first[0]] == texts[r.ref_id][first[1]] and (r.ref_id, r.ref_start) < (r.doc_id, r.start)
     want = repeated_words(rows, 40)
     assert got == want, f"{len(want - got)} of {len(want)} words are missing, {len(got - want)} are too many"
+
+
+def test_suffix_dedup_key_is_24_words(spark):
+    """A 40-word repeat must hold a kept suffix and 24 words after its start."""
+    shared = words(40, 91)
+    rows = [(i, f"{words(20 + i, 400 + i)} {shared} {words(30, 600 + i)}", i) for i in range(40)]
+    assert suffix_dedup.MIN_WORDS - suffix_dedup.WINDOW + 1 >= 24
+    df = spark.createDataFrame(rows, "id long, text string, row long")
+    kept = {i: set() for i in range(40)}
+    for r in suffix_dedup.suffixes(df, suffix_dedup.MIN_WORDS, suffix_dedup.WINDOW).collect():
+        if 20 + r.id <= r.place <= 20 + r.id + 40 - 24:
+            kept[r.id].add(r.place - 20 - r.id)
+    assert set.intersection(*kept.values())
