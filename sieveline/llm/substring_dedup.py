@@ -7,12 +7,17 @@ reference is indexed in blocks (input partitions) in two steps:
    k-word grams.  Equal windows select equal anchors, so only windows whose
    anchor occurs in two documents can repeat.  Runs share an anchor, so there
    are about a fifth as many anchors as words.
-2. Windows: those windows, hashed, with the smallest doc_id of each.  Windows
-   that straddle two factors are indexed like all others, so duplicates across
-   factor boundaries are found.
-
-A document is then parsed greedily: a factor is a maximal run of windows whose
-first occurrence lies in one earlier document.  Words inside factors go.
+2. Windows: those windows, hashed, with the first occurrence of each: smallest
+   doc_id, then place.
+
+A document is then parsed greedily from left to right.  A match is a run of
+windows whose first occurrences follow each other in one earlier document, so
+that the whole match stands there in one piece; at each word the longest match
+over it becomes a factor, and the next factor starts at its end.  Windows that
+straddle two factors are indexed like all others, so duplicates across factor
+boundaries are found.  Words inside factors go.  The index knows the first
+occurrence of a window alone: where a later reference holds a longer match, that
+match is told as several factors; the words that go are the same.
 
 Both steps are block-wise exchanges (``blocks``), so a passage in a third of
 all documents is one entry of each block, and no task gathers its documents.
@@ -38,7 +43,7 @@ from pyspark.sql.types import StructType
 
 from .blocks import bucket_count, chunk_batches, document_chunks, stabilised
 from .common import table
-from .kernels import buckets_of, chunks, gram_hashes, joined, sliding_min, squeeze, squeeze_sorted, starts_within, text_buffer, unsqueeze, unsqueeze_sorted, word_hashes, words
+from .kernels import buckets_of, chunks, gram_hashes, joined, range_hashes, sliding_min, squeeze, squeeze_sorted, starts_within, text_buffer, unsqueeze, unsqueeze_sorted, word_hashes, words
 
 WINDOW = 13
 GRAM = 5
@@ -118,7 +123,7 @@ def _send_windows(window: int, gram: int, buckets: int):
         flags = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
         if len(flags) != len(values):
             raise ValueError(f"block {block} has {len(values)} anchors, its index {len(flags)}: the input is not stable")
-        wanted, found, ids = values[flags], [], []
+        wanted, found, ids, spots = values[flags], [], [], []
         for b in batches if len(wanted) else ():
             doc_ids, known = _ids(b)
             for lo, _, _, _, _, wo, hashes in _parsed(b.column(1)):
@@ -128,21 +133,29 @@ def _send_windows(window: int, gram: int, buckets: int):
                 use = _member(anchor, wanted) & known[doc + lo]
                 found.append(gram_hashes(hashes, window)[at[use]])
                 ids.append(doc_ids[doc[use] + lo])
+                spots.append(_spots(hashes, wo)[doc[use]] + at[use] - wo[doc[use]])
         h = np.concatenate(found) if found else np.zeros(0, _U)
         d = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+        spot = np.concatenate(spots) if spots else np.zeros(0, np.int64)
+        order = np.lexsort((spot, d, h))
+        h, d, spot = h[order], d[order], spot[order]
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(h)) - 1
-        h, low, high = h[first], d[first], d[last] if len(h) else d
+        h, low, high, spot = h[first], d[first], d[last] if len(h) else d, spot[first]
         cuts = np.searchsorted(buckets_of(h, buckets), np.arange(buckets + 1))
-        rows = [(b, squeeze_sorted(h[i:j]), squeeze(low[i:j]), squeeze(high[i:j] - low[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-        b, *blobs = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array(b, pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("hashes", "low", "spread"), blobs, strict=True)}})
+        rows = [(b, squeeze_sorted(h[i:j]), squeeze(low[i:j]), squeeze(high[i:j] - low[i:j]), squeeze(spot[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+        b, *blobs = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array(b, pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("hashes", "low", "spread", "spot"), blobs, strict=True)}})
 
     return run
 
 
+def _spots(hashes: np.ndarray, wo: np.ndarray) -> np.ndarray:
+    """What, plus a place, tells places of a document from those of another with its
+    id: 20 bits of its text's hash above 32 bits for the place."""
+    return (range_hashes(hashes, wo[:-1], wo[1:]) >> _U(44)).astype(np.int64) << 32
+
+
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column(0)
     return column.fill_null(_LOW).to_numpy(zero_copy_only=False).astype(np.int64), column.is_valid().to_numpy(zero_copy_only=False)
@@ -162,24 +175,26 @@ def _member(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _first_owners(t: pa.Table) -> pa.Table:
-    """One bucket: for each block, its windows that an earlier document has, and the first document."""
+    """One bucket: for each block, its windows that an earlier document has, and the first document and place."""
     lists = [unsqueeze_sorted(x.as_py()) for x in t.column("hashes")]
     low = [unsqueeze(x.as_py(), np.int64) for x in t.column("low")]
     high = [a + unsqueeze(x.as_py(), np.int64) for x, a in zip(t.column("spread"), low, strict=True)]
-    values, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    least = np.full(len(values), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, np.concatenate(low))
-    owner, cuts, blocks = least[inverse], np.cumsum([0, *map(len, lists)]), t.column("block").to_pylist()
+    _, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+    owner, spot = np.concatenate(low), np.concatenate([unsqueeze(x.as_py(), np.int64) for x in t.column("spot")])
+    order = np.lexsort((spot, owner, inverse))
+    least = order[np.flatnonzero(np.diff(inverse[order], prepend=-1))]
+    owner, spot = owner[least][inverse], spot[least][inverse]
+    cuts, blocks = np.cumsum([0, *map(len, lists)]), t.column("block").to_pylist()
     rows = []
     for block, h, top, i, j in zip(blocks, lists, high, cuts, cuts[1:], strict=False):
         keep = owner[i:j] < top
         if keep.any():
-            rows.append((block, squeeze_sorted(h[keep]), squeeze(owner[i:j][keep])))
-    b, h, o = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"block": pa.array(b, pa.int64()), "hashes": pa.array(h, pa.binary()), "owner": pa.array(o, pa.binary())})
+            rows.append((block, squeeze_sorted(h[keep]), squeeze(owner[i:j][keep]), squeeze(spot[i:j][keep])))
+    b, h, o, s = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"block": pa.array(b, pa.int64()), "hashes": pa.array(h, pa.binary()), "owner": pa.array(o, pa.binary()), "spot": pa.array(s, pa.binary())})
 
 
-FACTORS = "array<struct<start:long,n_words:long,ref_id:long>>"
+FACTORS = "array<struct<start:long,n_words:long,ref_id:long,ref_start:long>>"
 
 
 def _remove(window: int, digest: bool, schema: pa.Schema):
@@ -189,8 +204,9 @@ def _remove(window: int, digest: bool, schema: pa.Schema):
         lists = [unsqueeze_sorted(x.as_py()) for x in answers.column("hashes")]
         index = np.concatenate(lists) if lists else np.zeros(0, _U)
         owner = np.concatenate([unsqueeze(x.as_py(), np.int64) for x in answers.column("owner")]) if lists else np.zeros(0, np.int64)
+        spot = np.concatenate([unsqueeze(x.as_py(), np.int64) for x in answers.column("spot")]) if lists else np.zeros(0, np.int64)
         order = np.argsort(index)
-        index, owner = index[order], owner[order]
+        index, owner, spot = index[order], owner[order], spot[order]
         out = []
         for batch in chunk_batches(docs):
             doc_ids, known = _ids(batch)
@@ -199,13 +215,13 @@ def _remove(window: int, digest: bool, schema: pa.Schema):
                 at, doc = starts_within(wo, window)
                 grams = gram_hashes(hashes, window)[at] if len(at) else np.zeros(0, _U)
                 use = np.flatnonzero(_member(grams, index))
-                ref = owner[np.searchsorted(index, grams[use])]
-                earlier = known[doc[use] + lo] & (ref < doc_ids[doc[use] + lo])
-                use, ref = use[earlier], ref[earlier]
-                place, doc = at[use], doc[use]
+                found = np.searchsorted(index, grams[use])
+                earlier = known[doc[use] + lo] & (owner[found] < doc_ids[doc[use] + lo])
+                use, found = use[earlier], found[earlier]
+                parse = _parse(at[use], doc[use], owner[found], spot[found], window)
                 steps = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(steps, place, 1)
-                np.add.at(steps, place + window, -1)
+                np.add.at(steps, parse[0], 1)
+                np.add.at(steps, parse[0] + parse[1], -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 total = np.concatenate(([0], np.cumsum(gone)))
                 n_words.append(np.diff(wo))
@@ -214,7 +230,7 @@ def _remove(window: int, digest: bool, schema: pa.Schema):
                 texts = joined(data, starts[~gone], ends[~gone], before[wo])
                 kept += [hashlib.sha256(x).hexdigest() for x in texts] if digest else [x.decode() for x in texts]
                 if not digest:
-                    factors += _factors(place, doc, ref, wo, hi - lo, window)
+                    factors += _factors(*parse, wo, hi - lo)
             columns = [pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.array(kept, pa.string())]
             if not digest:
                 columns.append(pa.array(factors, schema.field("factors").type))
@@ -224,16 +240,32 @@ def _remove(window: int, digest: bool, schema: pa.Schema):
     return run
 
 
-def _factors(place, doc, ref, wo, n_docs: int, window: int) -> list[list[dict]]:
-    """Greedy factors: maximal runs of adjacent windows first seen in one document."""
+def _parse(place, doc, ref, spot, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors, as start, words, reference and start there, of the windows at ``place``."""
+    if not len(place):
+        return (np.zeros(0, np.int64),) * 4
+    new = np.ones(len(place), bool)
+    new[1:] = (np.diff(place) != 1) | (np.diff(doc) != 0) | (np.diff(ref) != 0) | (np.diff(spot) != 1)
+    first = np.flatnonzero(new)
+    begin, end = place[first], place[np.append(first[1:], len(place)) - 1] + window
+    # matches start and end in ascending order: of those over a word the last is the longest
+    begins, ends, at, runs, starts = begin.tolist(), end.tolist(), 0, [], []
+    for i, (a, b) in enumerate(zip(begins, ends, strict=True)):
+        at = max(at, a)
+        if at < b and (i + 1 == len(begins) or begins[i + 1] > at):
+            runs.append(i)
+            starts.append(at)
+            at = b
+    run, start = np.array(runs, np.int64), np.array(starts, np.int64)
+    there = spot[first[run]] & ((1 << 32) - 1)
+    return start, end[run] - start, ref[first[run]], there + start - begin[run]
+
+
+def _factors(start, length, ref, there, wo, n_docs: int) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(n_docs)]
-    if len(place):
-        new = np.ones(len(place), bool)
-        new[1:] = (np.diff(place) != 1) | (np.diff(doc) != 0) | (np.diff(ref) != 0)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(place)) - 1
-        for d, a, b, r in zip(doc[first], place[first] - wo[doc[first]], place[last] - wo[doc[last]], ref[first], strict=True):
-            out[d].append({"start": int(a), "n_words": int(b - a) + window, "ref_id": int(r)})
+    doc = np.searchsorted(wo, start, side="right") - 1
+    for d, a, n, r, t in zip(doc, start - wo[doc], length, ref, there, strict=True):
+        out[d].append({"start": int(a), "n_words": int(n), "ref_id": int(r), "ref_start": int(t)})
     return out
 
 
@@ -246,8 +278,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     texts, buckets = slim.select("id", "text"), bucket_count(docs)
     anchors = texts.mapInArrow(_send_anchors(window, gram, buckets), "block long, bucket long, hashes binary, many binary")
     bits = anchors.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, bits binary, n long")
-    windows = document_chunks(texts).groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_windows(window, gram, buckets), "block long, bucket long, hashes binary, low binary, spread binary")
-    owners = windows.groupBy("bucket").applyInArrow(_first_owners, "block long, hashes binary, owner binary")
+    windows = document_chunks(texts).groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_windows(window, gram, buckets), "block long, bucket long, hashes binary, low binary, spread binary, spot binary")
+    owners = windows.groupBy("bucket").applyInArrow(_first_owners, "block long, hashes binary, owner binary, spot binary")
     named = f"id long, n_words long, n_removed long, {'kept_sha256 string' if digest else f'kept_text string, factors {FACTORS}'}"
     schema = StructType.fromDDL(named)
     schema = StructType([*schema.fields, *[f for f in slim.schema.fields[2:]]])

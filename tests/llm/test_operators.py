@@ -1,5 +1,6 @@
 """Edge cases and brute-force versions of the training-data operators."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -288,3 +289,30 @@ def test_suffix_dedup_key_is_24_words(spark):
         if 20 + r.id <= r.place <= 20 + r.id + 40 - 24:
             kept[r.id].add(r.place - 20 - r.id)
     assert set.intersection(*kept.values())
+
+
+def test_substring_dedup_factors_stand_in_their_references(spark):
+    w = words(14, 70).split()
+    rows = [*near_copies(), (2000, " ".join([*w[:13], "apart", *w[1:]])), (2001, "x " + " ".join(w) + " y")]
+    texts = {i: WORD.findall(t) for i, t in rows}
+    first, want = {}, {}
+    for i in sorted(texts):
+        at = [tuple(texts[i][p : p + 13]) for p in range(len(texts[i]) - 12)]
+        want[i] = {p + j for p, x in enumerate(at) if x in first for j in range(13)}
+        first |= {x: i for x in at if x not in first}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for r in substring_dedup.remove_repeats(df).collect():
+        covered = [p for f in r.factors for p in range(f.start, f.start + f.n_words)]
+        assert covered == sorted(want[r.doc_id]) and r.n_removed == len(covered)
+        for f in r.factors:
+            span, ref = texts[r.doc_id][f.start : f.start + f.n_words], texts[f.ref_id]
+            assert f.ref_id < r.doc_id and ref[f.ref_start : f.ref_start + f.n_words] == span
+    digests = {r.doc_id: r.kept_sha256 for r in substring_dedup.remove_repeats(df, digest=True).collect()}
+    kept = {i: " ".join(x for p, x in enumerate(t) if p not in want[i]) for i, t in texts.items()}
+    assert digests == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+
+
+def test_substring_dedup_parse_takes_the_longest_match():
+    place, ref, spot = np.array([0, 1, 2, 3, 4]), np.array([1, 1, 2, 3, 3]), np.array([7, 8, 90, 50, 51])
+    got = substring_dedup._parse(place, np.zeros(5, np.int64), ref, spot, 3)
+    assert [x.tolist() for x in got] == [[0, 4], [4, 3], [1, 3], [7, 51]]
