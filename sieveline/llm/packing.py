@@ -168,7 +168,11 @@ class VectorPacker:
 
     def finish(self) -> None:
         """Pack what waits; the last sequence is cut into powers of two."""
-        while self.items and (self.demand[: len(self.items), 0].sum() >= self.limits[0] or len(self.items) >= self.limits[1]):
+        while self.items:
+            tokens, segments, loss = self.demand[: len(self.items)].sum(axis=0)
+            # what is left keeps every limit, however it is cut
+            if tokens < self.limits[0] and segments < self.limits[1] and loss <= self.limits[2]:
+                break
             self._fill()
         rest = sum(x[2] for x in self.items)
         while self.items:
@@ -195,6 +199,7 @@ def pack(
     segments: int = 256,
     loss_tokens: int | None = None,
     loss_share: float = 1.0,
+    loss_col: str | None = None,
     with_ids: bool = True,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -204,7 +209,8 @@ def pack(
     little-endian unsigned 32-bit binary.
 
     ``segments`` and ``loss_tokens`` bound a sequence's pieces and loss-bearing
-    tokens; the last ``loss_share`` of a document's tokens bear loss."""
+    tokens; of a document's tokens the last bear loss: as many as its ``loss_col``
+    says (all where that is null), or without one the share ``loss_share``."""
     limits = (tokens, segments, loss_tokens or tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,19 +238,21 @@ def pack(
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            told = batch.column(2).to_pylist() if loss_col else [None] * batch.num_rows
+            for doc, text, loss in zip(batch.column(0).to_pylist(), batch.column(1), told, strict=True):
                 ids = encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 number += 1
                 waiting[number], left[number] = ids, n
-                packer.add((number, doc), 0, n, min(n, round(n * loss_share)))
+                bears = (n if loss is None else max(0, loss)) if loss_col else round(n * loss_share)
+                packer.add((number, doc), 0, n, min(n, bears))
                 if len(rows) >= 4096:
                     yield flush()
         packer.finish()
         if rows:
             yield flush()
 
-    out = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    out = docs.select(F.col(id_col).cast("long"), F.col(text_col), *([F.col(loss_col).cast("long")] if loss_col else [])).mapInArrow(run, SCHEMA)
     return out if with_ids else out.drop("ids")
 
 

@@ -316,3 +316,33 @@ def test_substring_dedup_parse_takes_the_longest_match():
     place, ref, spot = np.array([0, 1, 2, 3, 4]), np.array([1, 1, 2, 3, 3]), np.array([7, 8, 90, 50, 51])
     got = substring_dedup._parse(place, np.zeros(5, np.int64), ref, spot, 3)
     assert [x.tolist() for x in got] == [[0, 4], [4, 3], [1, 3], [7, 51]]
+
+
+def test_packing_keeps_the_loss_limit(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    by = {}
+    for r in packing.pack(docs.coalesce(1), path, loss_tokens=512, with_ids=False).collect():
+        by[r.sequence_id] = by.get(r.sequence_id, 0) + r.length
+    assert max(by.values()) <= 512
+    told = docs.coalesce(1).withColumn("bears", F.when(F.col("doc_id") % 3 > 0, 40 * F.col("doc_id")))
+    bears, n, by = {r.doc_id: r.bears for r in told.collect()}, 0, {}
+    for r in packing.pack(told, path, loss_tokens=100, loss_col="bears", with_ids=False).collect():
+        first = 0 if bears[r.doc_id] is None else max(0, r.doc_tokens - bears[r.doc_id])
+        loss = max(0, r.start + r.length - max(r.start, first))
+        by.setdefault(r.sequence_id, []).append((r.length, loss))
+        n += r.length
+    assert all(sum(x) <= 2048 and sum(y) <= 100 for x, y in (zip(*v, strict=True) for v in by.values()))
+    assert n == sum(r.length for r in packing.pack(docs, path, with_ids=False).collect())
+
+
+def test_packer_keeps_all_limits_at_its_end():
+    for seed in range(20):
+        rng, seen = random.Random(seed), {}
+        packer = packing.VectorPacker((100, 4, 30), lambda key, start, length, seq, _: seen.setdefault(seq, []).append((length, max(0, start + length - max(start, key[0] - key[1])))), pool=16)
+        for _ in range(rng.randint(1, 60)):
+            n = rng.randint(1, 250)
+            loss = rng.randint(0, n)
+            packer.add((n, loss), 0, n, loss)
+        packer.finish()
+        for v in seen.values():
+            assert sum(x for x, _ in v) <= 100 and len(v) <= 4 and sum(y for _, y in v) <= 30
