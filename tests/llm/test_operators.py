@@ -346,3 +346,8 @@ def test_packer_keeps_all_limits_at_its_end():
         packer.finish()
         for v in seen.values():
             assert sum(x for x, _ in v) <= 100 and len(v) <= 4 and sum(y for _, y in v) <= 30
+
+
+def test_pipeline_packing_returns_ids(spark, docs):
+    rows = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
