@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Folders of the open ``scratch`` blocks, innermost last.
+_scratch: list[list[str]] = []
+#: Times the wanted number of rows that a sample's threshold lets pass.
+SPARE = 4
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; one is set only where none is."""
+    """The shared folder named by the cluster.  Where none is named, a local
+    session (a test) sets its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="sieveline-")
@@ -24,16 +34,43 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_settled(df: DataFrame) -> None:
     """Delete what ``settle`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what was settled in the block at its end, when its result is written."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            delete(spark, folder)
+
+
+def smallest_hashes(rows: DataFrame, group: str, most: int, groups: int) -> DataFrame:
+    """Of rows (id, group) those ``most`` ids a group with the smallest hashes, for
+    the ``groups`` commonest groups.  A threshold on the hash leaves about SPARE times
+    as many rows before they are ranked, so that no task ranks a whole group."""
+    rows = rows.select("id", group).distinct()
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), group).limit(groups)
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(F.broadcast(sizes), group).where(part * F.col("__n") < SPARE * most)  # a bounded number of groups
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(part, "id"))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= most).select("id", group)
 
 
 def held_out(doc_id: Column) -> Column:

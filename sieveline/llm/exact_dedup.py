@@ -7,7 +7,8 @@ that needs no shuffle of the index, and the survivors are appended.  Only
 map-side to one row, so no group lands in one task.
 
 Defined edge cases: a null text equals the empty text; a null id is allowed and
-sorts after all others; of rows that repeat both text and id each is marked
+sorts after all others; a text that the index has keeps the index's id, be the
+new one smaller or not; of rows that repeat both text and id each is marked
 kept; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -32,18 +33,33 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest table under ``path``: (digest, id), bucketed and sorted by digest."""
+    """A digest table under ``path``: (digest, id), bucketed and sorted by digest.
+
+    The number of buckets is written beside the files, at ``path``-buckets.  An
+    index that is opened again takes it from there and refuses another one."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
-        self.buckets = buckets or partitions(spark)
+        had = self._written(spark) if path else None
+        if had and buckets and had != buckets:
+            raise ValueError(f"the index at {path} has {had} buckets, not {buckets}")
+        self.buckets = had or buckets or partitions(spark)
+        if not had:
+            spark.range(self.buckets, self.buckets + 1, numPartitions=1).write.parquet(f"{self.path}-buckets")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, id BIGINT) USING parquet OPTIONS (path '{self.path}') "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
         )
 
+    def _written(self, spark: SparkSession) -> int | None:
+        """The number of buckets of an index that is there already."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}-buckets")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return spark.read.schema("id long").parquet(f"{self.path}-buckets").first()["id"]
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 

@@ -194,6 +194,15 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def segment_sums(rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each segment; each depends on its own rows alone, to the last bit."""
+    out = np.zeros((len(offsets) - 1, rows.shape[1]))
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(rows, offsets[some], axis=0, dtype=float)
+    return out
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_offsets: np.ndarray) -> list[bytes]:
     """For each document its words joined by one space."""
     lengths = ends - starts + 1

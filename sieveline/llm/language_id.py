@@ -2,53 +2,57 @@
 
 The pieces of a fixed public vocabulary get a probability in each language,
 fitted by expectation maximisation over all segmentations of the training
-words.  A word's probability is the sum over all its segmentations (the forward
-algorithm); a text's is the product over its words (runs of letters, lower
-case).  The score is the posterior of the best language under equal priors.
-
-The fit reads a bounded sample: ``per_language`` labelled documents of each
-language, those with the smallest hashes of their ids, none of them held out;
-it sends the driver counts of their distinct words.  Scoring reads every text
-whole and computes each distinct word of a task once.
-
-Defined edge cases: a text that is null or has no letter is ``und`` with score
-0; rows without a language are not learnt from; with no labelled row at all
-every text is ``und``; ids may be null or repeat; ties go to the language that
-sorts first; an empty table gives an empty result; extra columns are ignored.
+words.  A word's probability is the sum over all its segmentations into pieces
+of any length (the forward algorithm, rescaled on its way, so that runs of any
+length neither underflow nor are cut); a text's is the product over its words
+(runs of letters, lower case).  The score is the posterior of the best language
+under equal priors.
+
+The fit reads a bounded sample: ``per_language`` labelled documents of each of
+the LANGUAGES commonest languages, those with the smallest hashes of their ids,
+none of them held out; it sends the driver counts of their distinct words.
+Scoring reads every text whole and computes each distinct word of a task once.
+
+Defined edge cases: a letter is a character of Unicode category L (``\u00bd`` and
+``\u2167`` are none); a text that is null or has no letter is ``und`` with score 0;
+rows without a language are not learnt from; with no labelled row at all every
+text is ``und``; ids may be null or repeat; ties go to the language that sorts
+first; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
-from .kernels import chunks, text_buffer, words
+from .common import held_out, smallest_hashes, table
+from .kernels import chunks, segment_sums, text_buffer, words
 from .wordcache import WordCache
 
 PER_LANGUAGE = 400
-#: Longest piece in characters, and the stretch in which longer words are read.
-PIECE, STRETCH = 8, 32
+#: Languages that are learnt at most, the commonest ones.
+LANGUAGES = 512
 #: Probability of a character that is no piece.
 FLOOR = 1e-7
 ROUNDS = 3
-_RUN = re.compile(r"[^\W\d_]+")
+#: Positions between two rescalings, and numbers held for a group of words at once.
+STEP, CELLS = 8, 1 << 21
+_RUN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 _MARK = "▁"
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
 def vocabulary(model_path: str) -> list[str]:
-    """The pieces of a sentencepiece model that are text, lower-cased, PIECE characters at most."""
+    """The pieces of a sentencepiece model that are text, lower-cased."""
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=model_path)
-    found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(x for x in found if len(x) <= PIECE)
+    return sorted({sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))})
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -58,11 +62,12 @@ def _codes(texts: list[str]) -> np.ndarray:
 class Lattice:
     """All segmentations of a list of words into pieces, by word length."""
 
-    def __init__(self, pieces: list[str]):
+    def __init__(self, pieces: list[str], width: int = 1):
+        self.width = width
         hashes, lengths = np.zeros(len(pieces), _U), np.array([len(p) for p in pieces])
         for n in np.unique(lengths):
             some = np.flatnonzero(lengths == n)
-            h = np.full(len(some), _U(n))
+            h = np.zeros(len(some), _U)
             for c in _codes([pieces[i] for i in some]).reshape(len(some), n).T:
                 h = (h * _BASE) ^ (c + _U(1))
             hashes[some] = h
@@ -70,38 +75,34 @@ class Lattice:
         self.hashes, self.ids = hashes[order], order.astype(np.int32)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self._low(self.hashes)] = True
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), int(lengths.max()) if len(pieces) else 1
 
     @staticmethod
     def _low(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> _U(29))) & _U((1 << 20) - 1)).astype(np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int32)
-        maybe = np.flatnonzero(self.bits[self._low(h)])
-        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), self.size - 1)
-        hit = self.hashes[at] == h[maybe]
-        out[maybe[hit]] = self.ids[at[hit]]
+        out = np.full(h.shape, -1, np.int32)
+        maybe = np.nonzero(self.bits[self._low(h)])
+        wanted = h[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, wanted), self.size - 1)
+        out[maybe] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
         return out
 
     def groups(self, texts: list[str]):
-        """Yield (indices of words of one length, edges); edges[i][l - 1] are the
+        """Yield (indices of words of one length, edges); edges[l - 1][:, i] are the
         piece ids (-1: none) of length l at position i."""
         lengths = np.array([len(x) for x in texts])
-        for n in np.unique(lengths):
+        for n in np.unique(lengths).tolist():
             some = np.flatnonzero(lengths == n)
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
-                codes = _codes([texts[i] for i in part]).reshape(len(part), n)
-                edges = []
-                for i in range(n):
-                    row = []
-                    for size in range(1, min(PIECE, n - i) + 1):
-                        h = np.full(len(part), _U(size))
-                        for c in range(i, i + size):
-                            h = (h * _BASE) ^ (codes[:, c] + _U(1))
-                        row.append(self._find(h))
-                    edges.append(row)
+            most = max(1, CELLS // ((n + 1) * max(self.width, 4)))
+            for k in range(0, len(some), most):
+                part = some[k : k + most]
+                codes = _codes([texts[i] for i in part]).reshape(len(part), n) + _U(1)
+                edges, h = [], np.zeros(codes.shape, _U)
+                for size in range(1, min(self.longest, n) + 1):
+                    h = (h[:, : n - size + 1] * _BASE) ^ codes[:, size - 1 :]
+                    edges.append(self._find(h))
                 yield part, edges
 
 
@@ -110,46 +111,60 @@ def _weights(p: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
     return np.where(ids[:, None] >= 0, p[ids], FLOOR if size == 1 else 0.0)
 
 
-def forward(p: np.ndarray, edges: list) -> list[np.ndarray]:
-    """alpha[j]: the summed probability of all segmentations of the first j characters."""
-    m, n = len(edges[0][0]), len(edges)
-    alpha = [np.ones((m, p.shape[1]))] + [np.zeros((m, p.shape[1])) for _ in range(n)]
-    for i in range(n):
-        for size, ids in enumerate(edges[i], 1):
-            alpha[i + size] += alpha[i] * _weights(p, ids, size)
-    return alpha
-
-
-def _expected(p: np.ndarray, edges: list, weight: np.ndarray, out: np.ndarray) -> None:
+def forward(p: np.ndarray, edges: list[np.ndarray], back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(value, scale), both (characters + 1, words, languages): value[j] * exp(scale[j]) is
+    the summed probability of all segmentations of the first j characters, or with
+    ``back`` of those from j on."""
+    m, n = edges[0].shape
+    there = [(x >= 0).any(axis=0) for x in edges]
+    value, scale = np.zeros((n + 1, m, p.shape[1])), np.zeros((n + 1, m, p.shape[1]))
+    value[n if back else 0] = 1
+    now = np.zeros((m, p.shape[1]))
+    for step in range(n + 1):
+        at = n - step if back else step
+        if step and step % STEP == 0:
+            # what is still open ahead; what lies behind keeps its scale
+            ahead = slice(max(0, at - len(edges)), at + 1) if back else slice(at, at + len(edges) + 1)
+            most = value[ahead].max(axis=0)
+            value[ahead] /= most
+            now = now + np.log(most)
+        scale[at] = now
+        for size in range(1, min(len(edges), at if back else n - at) + 1):
+            i = at - size if back else at
+            if size == 1 or there[size - 1][i]:
+                value[i if back else at + size] += value[at] * _weights(p, edges[size - 1][:, i], size)
+    return value, scale
+
+
+def log_probability(p: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Of each word in each language."""
+    value, scale = forward(p, edges)
+    return np.log(value[-1]) + scale[-1]
+
+
+def _expected(p: np.ndarray, edges: list[np.ndarray], weight: np.ndarray, out: np.ndarray) -> None:
     """Add the expected piece counts of words with ``weight`` (words, languages)."""
-    alpha, n = forward(p, edges), len(edges)
-    beta = [np.zeros_like(alpha[0]) for _ in range(n)] + [np.ones_like(alpha[0])]
-    for i in range(n - 1, -1, -1):
-        for size, ids in enumerate(edges[i], 1):
-            beta[i] += _weights(p, ids, size) * beta[i + size]
-    scale = weight / alpha[n]
-    for i in range(n):
-        for size, ids in enumerate(edges[i], 1):
-            have = ids >= 0
-            if have.any():
-                np.add.at(out, ids[have], (alpha[i] * _weights(p, ids, size) * beta[i + size] * scale)[have])
+    (alpha, a), (beta, b) = forward(p, edges), forward(p, edges, back=True)
+    total = np.log(alpha[-1]) + a[-1]
+    for size, ids in enumerate(edges, 1):
+        for i in np.flatnonzero((ids >= 0).any(axis=0)):
+            have = np.flatnonzero(ids[:, i] >= 0)
+            piece, j = ids[have, i], i + size
+            share = alpha[i][have] * p[piece] * beta[j][have] * np.exp(a[i][have] + b[j][have] - total[have])
+            np.add.at(out, piece, share * weight[have])
 
 
 def stretches(word: str) -> list[str]:
-    """The letter runs of a word, lower case, marked at the start, in stretches."""
-    out = []
-    for run in _RUN.findall(word.lower()):
-        run = _MARK + run
-        out += [run[i : i + STRETCH] for i in range(0, len(run), STRETCH)]
-    return out
+    """The letter runs of a word, lower case, marked at the start."""
+    return [_MARK + run for run in _RUN.findall(word.lower())]
 
 
 def fit(counts: dict[str, np.ndarray], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (pieces, languages) from stretch counts by language."""
-    lattice, texts = Lattice(pieces), list(counts)
+    texts = list(counts)
     weight = np.array([counts[x] for x in texts], float)
     k = weight.shape[1]
-    groups = [(part, edges) for part, edges in lattice.groups(texts)]
+    groups = list(Lattice(pieces, k).groups(texts))
     p = np.full((len(pieces), k), 1.0 / len(pieces))
     for _ in range(rounds):
         out = np.full((len(pieces), k), 0.05)
@@ -163,7 +178,7 @@ class Scorer:
     """Log-probabilities of words: one column a language, then whether there are letters."""
 
     def __init__(self, pieces: list[str], p: np.ndarray):
-        self.lattice, self.p = Lattice(pieces), p
+        self.lattice, self.p = Lattice(pieces, p.shape[1]), p
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         found = [stretches(x) for x in texts]
@@ -171,7 +186,7 @@ class Scorer:
         flat = [y for x in found for y in x]
         out = np.zeros((len(texts), self.p.shape[1] + 1))
         for part, edges in self.lattice.groups(flat):
-            np.add.at(out[:, :-1], owner[part], np.log(forward(self.p, edges)[-1]))
+            np.add.at(out[:, :-1], owner[part], log_probability(self.p, edges))
         out[owner, -1] = 1
         return out
 
@@ -179,16 +194,14 @@ class Scorer:
 def _training_counts(docs: DataFrame, per_language: int) -> tuple[list[str], dict[str, np.ndarray]]:
     """Stretch counts by language of the sample."""
     narrow = docs.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id", "lang")
-    # ranked without the texts; the rank filter runs before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = narrow.withColumn("rank", rank).where(F.col("rank") <= per_language).select("id").distinct()
-    sample = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("id"))).join(F.broadcast(ids), "id", "left_semi").select("lang", "text")
+    ids = smallest_hashes(narrow, "lang", per_language, LANGUAGES)  # ranked without the texts
+    sample = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("id"))).join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches):
         for batch in batches:
             seen: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word in (text or "").split():
+                for word in _WORD.findall(text or ""):
                     for x in stretches(word):
                         seen[lang, x] = seen.get((lang, x), 0) + 1
             if seen:
@@ -217,9 +230,7 @@ def identify(docs: DataFrame, model_path: str, *, per_language: int = PER_LANGUA
             names, best = [], []
             for _, _, part, offs in chunks(*text_buffer(batch.column(1))):
                 starts, ends, wo = words(part, offs)
-                rows = score(part, starts, ends).astype(float)
-                total = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)))
-                total = total[wo[1:]] - total[wo[:-1]]
+                total = segment_sums(score(part, starts, ends), wo)
                 some, total = (total[:, -1] > 0.5) & bool(langs), total[:, :-1]
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 top = total.argmax(axis=1)

@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveline.llm import bpe, exact_dedup, language_id, licenses, minhash, packing, substring_dedup, suffix_dedup, topk, toxicity
+from sieveline.llm import bpe, common, exact_dedup, kernels, language_id, licenses, minhash, packing, substring_dedup, suffix_dedup, topk, toxicity
+from sieveline.llm.wordcache import WordCache
 from sieveline.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +67,17 @@ def test_index_persists(spark, docs):
     assert found == {0: 1, 99: 99} and again.read().count() == before + 1
 
 
+def test_index_keeps_its_bucket_count(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, f"{common.shared_dir(spark)}/index-of-four", 4)
+    exact_dedup.assign(rows, index)
+    index.deregister()
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.buckets == 4 and exact_dedup.assign(rows, again).count() == 50 and again.read().count() == 50
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, 3)
+
+
 def brute_components(rows, k, percent):
     sets = []
     for _, t in rows:
@@ -183,17 +196,46 @@ def test_top_k_is_brute_force(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = ["a", "b", "ab", "ba", "aba"]
-    p = np.array([[0.3], [0.2], [0.2], [0.1], [0.2]])
+    pieces = ["a", "b", "ab", "ba", "aba", "abababab" * 3]
+    p = np.array([[0.3, 0.1], [0.2, 0.2], [0.2, 0.3], [0.1, 0.1], [0.1, 0.1], [0.1, 0.2]])
     lattice = language_id.Lattice(pieces)
-    prob = dict(zip(pieces, p[:, 0], strict=True))
 
-    def total(s):
-        return 1.0 if not s else sum(prob[x] * total(s[len(x) :]) for x in pieces if s.startswith(x))
-
-    for part, edges in lattice.groups(["abab", "baba", "aab"]):
-        for i, value in zip(part, language_id.forward(p, edges)[-1][:, 0], strict=True):
-            assert value == pytest.approx(total(["abab", "baba", "aab"][i]))
+    def total(s, lang):  # of the first characters, in exact logarithms
+        out = [0.0]
+        for j in range(1, len(s) + 1):
+            ends = [(out[j - len(x)] + np.log(q)) for x, q in zip(pieces, p[:, lang], strict=True) if s[:j].endswith(x)]
+            out.append(np.logaddexp.reduce(ends))
+        return out[-1]
+
+    texts = ["abab", "baba", "aab", "ab" * 12, "ab" * 40, "ba" * 700, "abba" * 200 + "a"]
+    seen = 0
+    for part, edges in lattice.groups(texts):
+        back, scale = language_id.forward(p, edges, back=True)
+        for row, i in enumerate(part):
+            for lang in (0, 1):
+                want = total(texts[i], lang)
+                assert language_id.log_probability(p, edges)[row, lang] == pytest.approx(want)
+                assert np.log(back[0][row, lang]) + scale[0][row, lang] == pytest.approx(want)
+                seen += 1
+    assert seen == 14
+
+
+def test_fit_counts_pieces_of_any_length():
+    pieces = ["▁", "x", "y", "▁" + "xy" * 30]
+    p = language_id.fit({"▁" + "xy" * 30: np.array([5.0, 0.0]), "▁" + "x" * 400: np.array([0.0, 1.0])}, pieces)
+    assert p[3, 0] > 0.5 > p[3, 1] and np.allclose(p.sum(axis=0), 1)
+
+
+def test_language_id_letters(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "the house and the garden", "en"), (2, "das Haus und der Garten", "de"), (3, "\u00bd \u00b2 \u2167 12 _", None), (4, "x" * 3000, None), (5, "e\u0301", None), (6, "\u65e5" * 5000, None)]
+    rows += [(10 + i, ["the house and the garden", "das Haus und der Garten"][i % 2], ["en", "de"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify(df, path).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred == "de" and got[3].lang_pred == "und" and got[3].score == 0
+    assert all(got[i].lang_pred in ("en", "de") and 0.5 <= got[i].score <= 1 for i in (4, 5, 6))
+    again = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(df.orderBy(F.desc("doc_id")).coalesce(1), path).collect()}
+    assert again == {i: (r.lang_pred, r.score) for i, r in got.items()}
 
 
 def test_language_id_accuracy_and_edges(spark, docs, none):
@@ -220,6 +262,26 @@ def test_toxicity_accuracy_and_edges(spark, docs, none):
     assert toxicity.scores(none, labels).count() == 0
 
 
+def test_toxicity_of_a_text_depends_on_it_alone(spark):
+    import duckdb
+
+    texts = duckdb.sql("select doc_id, text, lang, toxic from '/root/testdata/sf0.01/documents.parquet' join '/root/testdata/sf0.01/labels.parquet' using (doc_id) order by 1").fetchall()
+    model = toxicity.fit([(t, x, y) for _, t, x, y in texts])
+    cache = WordCache(model.word_rows, toxicity.DIM + model.by_lang.shape[1])
+
+    def scored(some):
+        data, offsets = kernels.text_buffer(pa.array(some, pa.string()))
+        starts, ends, wo = kernels.words(data, offsets)
+        p, guess = toxicity.score_rows(model, cache(data, starts, ends), wo)
+        return list(zip(p.tolist(), guess.tolist(), strict=True))
+
+    some = [t for _, t, _, _ in texts[:150]] + ["", None, "one", "ü"]
+    alone = [scored([t])[0] for t in some]
+    for order in (some, some[::-1]):
+        got = scored(order) if order is some else scored(order)[::-1]
+        assert all(abs(a[0] - b[0]) <= 1e-9 and a[1] == b[1] for a, b in zip(got, alone, strict=True))
+
+
 def test_license_forms(spark, docs, none):
     text = licenses.KNOWN["ISC"].replace("notice", "NOTICE").replace(", ", " , ")
     df = spark.createDataFrame([(1, "ISC License\n"), (2, "Copyright (c) 2020 A\n" + text + "\n"), (3, None), (4, "Licensed under the MIT Licence")], "doc_id long, text string")
