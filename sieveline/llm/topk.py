@@ -1,24 +1,42 @@
 """Exact top-k inner products through a pivot-distance index.
 
-Each vector is keyed by its nearest pivot and its distance r to it, and vectors
-are stored in blocks (annuli) of one pivot in the order of r.  For a query q no
-member of a block with pivot p and largest r can score above q.p + |q| r, nor,
-by the triangle inequality, above (|q|^2 + |x|^2 - (|q-p| - r)^2) / 2 with the
-block's largest |x| and nearest r.  A task takes its blocks in the order of the
-bound, keeps each query's best k, and stops where no query can gain.  Queries
-travel in groups of bounded size; tasks send at most k rows of each query.
+Each vector is keyed by its nearest pivot and its distance r to it.  The vectors
+of a pivot, in the order of r, are cut into annuli; an annulus is a cell, and a
+cell with more than SLOT vectors (many equal ones, say) is dealt over several
+slots.  Of each cell the driver knows the pivot, the range of r and the largest
+norm: for a query q no member can score above q.p + |q| r, nor, by the triangle
+inequality, above (|q|^2 + |x|^2 - (|q-p| - r)^2) / 2 with the largest |x| and
+the nearest r.
 
-Scores are exact: components become floor(scale * x), sums stay below 2**53.
+1. Each query visits one slot of each of the FIRST cells with the highest
+   bounds; the k-th score found is its threshold.
+2. It then visits all other slots of those cells alone whose bound reaches the
+   threshold.
+
+A round sends each vector to its slot once and each query to the slots it
+visits.  A task reads a slot's vectors, then streams the queries, and inside the
+slot takes blocks of vectors in the order of their bounds until no query can
+gain.  It sends at most k rows for each query.
+
+The numbers of pivots, annuli and cells grow with the table up to fixed limits
+(PIVOTS, ANNULI and their product), so what the driver holds and broadcasts is
+bounded; beyond them the slots of a cell grow in number.
+
+Scores are exact: components become floor(scale * x), and a table in which a
+score could reach 2**53 is refused with an error.
 
 Defined edge cases: vectors null or with null or non-finite components take no
 part; neither do null ids; of different lengths, the shorter is padded with
-zeros; a query's id is no candidate of its own, however often it repeats;
+zeros; a query's id is no candidate of its own, however often it repeats; of
+several vectors under one query id the smallest (by its components) asks;
 repeated candidate rows each count; an empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,11 +44,17 @@ from pyspark.sql import functions as F
 
 from .common import partitions, settle, table
 
-PIVOTS = 32
-#: Rows of a block, and queries that travel together.
-BLOCK, GROUP = 512, 4096
-#: Candidates of one task.
-SLOT = 1 << 16
+#: Fewest and most pivots, and vectors of one pivot on average.
+PIVOTS, PIVOT_ROWS = (32, 1024), 4096
+#: Most annuli of a pivot.
+ANNULI = 64
+#: Rows of a block; queries compared at once; fewest and most vectors of a slot.
+BLOCK, GROUP, SLOT = 512, 2048, (2048, 1 << 16)
+#: Cells that a query visits first.
+FIRST = 3
+#: Queries whose bounds are computed at once.
+BOUNDS = 256
+RESULT = "query_id long, vec_id long, score long"
 
 
 def scaled(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -46,87 +70,191 @@ def _matrix(column, dim: int) -> np.ndarray:
     sizes = np.diff(offsets)
     out = np.zeros((len(sizes), dim))
     flat = column.values.to_numpy()[offsets[0] : offsets[-1]]
-    out[np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else []] = flat
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - starts] = flat
     return out
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1), 0))
+
+
 def _keyed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, v, pivot, r)."""
+    """(id, v, pivot, r, size) with the squared norm as size."""
 
     def run(batches):
         for batch in batches:
             x = _matrix(batch.column(1), pivots.shape[1])
-            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1), 0))
+            d = _distances(x, pivots)
             near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(x)), near])], names=["id", "v", "pivot", "r"])
-
-    return vectors.mapInArrow(run, "id long, v array<double>, pivot int, r double")
-
-
-def _search(pivots: np.ndarray, k: int):
-    dim = pivots.shape[1]
-
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if len(queries) and len(rows):
-            q, qid = _matrix(queries.column("qv"), dim), queries.column("qid").to_numpy()
-            order = np.lexsort((rows.column("id").to_numpy(), rows.column("r").to_numpy(), rows.column("pivot").to_numpy()))
-            rows = rows.take(pa.array(order))
-            x, ids, pivot, r = _matrix(rows.column("v"), dim), rows.column("id").to_numpy(), rows.column("pivot").to_numpy(), rows.column("r").to_numpy()
-            cuts = [0]
-            while cuts[-1] < len(ids):
-                cuts.append(min(cuts[-1] + BLOCK, int(np.searchsorted(pivot, pivot[cuts[-1]], side="right"))))
-            norm, size = np.sqrt((q**2).sum(1)), (x**2).sum(1)
-            to_pivot = np.sqrt(np.maximum((q**2).sum(1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(1), 0))
-            dot = q @ pivots.T
-            bounds = []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(x)), near]), pa.array((x**2).sum(1))], names=["id", "v", "pivot", "r", "size"])
+
+    return vectors.mapInArrow(run, "id long, v array<double>, pivot int, r double, size double")
+
+
+class Index:
+    """What all tasks know: pivots, and of each cell its pivot, range of r, largest size and slots."""
+
+    def __init__(self, pivots: np.ndarray, cells: np.ndarray):
+        self.pivots = pivots
+        self.pivot, self.low, self.high, self.size = cells[:, 0].astype(int), cells[:, 1], cells[:, 2], cells[:, 3]
+        self.slots = cells[:, 4].astype(np.int64)
+        self.first = np.cumsum(self.slots) - self.slots
+        self.cell_of = np.repeat(np.arange(len(cells)), self.slots)
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Above each score of queries with members of each cell, with slack for rounding."""
+        return bound(q, self.pivots, self.pivot, self.low, self.high, self.size)
+
+    def visits(self, q: np.ndarray, ids: np.ndarray, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, slot): the first visits, or with thresholds all others that may gain."""
+        bounds = self.bounds(q)
+        some = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
+        slots = self.first[some] + np.abs(ids)[:, None] % self.slots[some]
+        if least is None:
+            return np.repeat(np.arange(len(q)), some.shape[1]), slots.ravel()
+        row, cell = np.nonzero(bounds >= least[:, None])
+        many = self.slots[cell]
+        row, slot = np.repeat(row, many), np.repeat(self.first[cell] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        seen = (slot[:, None] == slots[row]).any(axis=1)
+        return row[~seen], slot[~seen]
+
+
+def bound(q, pivots, pivot, low, high, size) -> np.ndarray:
+    to, dot, norm = _distances(q, pivots)[:, pivot], (q @ pivots.T)[:, pivot], (q**2).sum(1)[:, None]
+    gap = np.maximum(np.maximum(to - high, low - to), 0)
+    most = np.minimum(dot + np.sqrt(norm) * high, (norm + size - gap**2) / 2)
+    return most + 1e-6 * (1 + np.abs(most))
+
+
+def _visits(queries: DataFrame, index, asked_first: bool) -> DataFrame:
+    """(slot, kind, id, v, x) of queries (id, v, least): one row a visit, x the threshold."""
+
+    def run(batches):
+        known = index.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, BOUNDS):
+                part = batch.slice(k, BOUNDS)
+                least = part.column(2).to_numpy(zero_copy_only=False)
+                row, slot = known.visits(_matrix(part.column(1), known.pivots.shape[1]), part.column(0).to_numpy(), None if asked_first else least)
+                some = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(np.ones(len(row)), pa.int32()), *some.columns], names=["slot", "kind", "id", "v", "x"])
+
+    return queries.mapInArrow(run, "slot long, kind int, id long, v array<double>, x double")
+
+
+class _Slot:
+    """The vectors of one slot in blocks by distance, and the search for queries."""
+
+    def __init__(self, known: Index, slot: int, parts: list[pa.RecordBatch]):
+        x, ids, r = _matrix(pa.chunked_array([p.column(3) for p in parts]), known.pivots.shape[1]), *(np.concatenate([p.column(c).to_numpy() for p in parts]) for c in (2, 4))
+        order = np.lexsort((ids, r))
+        self.x, self.ids, r = x[order], ids[order], r[order]
+        cuts = np.arange(0, len(r), BLOCK)
+        pivot = np.full(len(cuts), known.pivot[known.cell_of[slot]])
+        self.edges = np.append(cuts, len(r))
+        self.args = known.pivots, pivot, r[cuts], r[self.edges[1:] - 1], np.maximum.reduceat((self.x**2).sum(1), cuts)
+
+    def search(self, q: np.ndarray, qid: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bounds = bound(q, *self.args)
+        best, names = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for i in np.argsort(-bounds.max(0), kind="stable"):
+            # equal scores may win by their id
+            some = np.flatnonzero(bounds[:, i] >= np.maximum(best[:, -1], least))
+            if not len(some):
+                continue
+            a, b = self.edges[i], self.edges[i + 1]
+            score = q[some] @ self.x[a:b].T
+            score[(qid[some][:, None] == self.ids[None, a:b]) | (score < least[some][:, None])] = -np.inf
+            score = np.concatenate((best[some], score), axis=1)
+            who = np.concatenate((names[some], np.broadcast_to(self.ids[a:b], (len(some), b - a))), axis=1)
+            top = np.lexsort((who, -score), axis=1)[:, :k]
+            best[some], names[some] = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
+        row, col = np.nonzero(np.isfinite(best))
+        return qid[row], names[row, col], best[row, col].astype(np.int64)
+
+
+def _search(index, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, parts, slot = index.value, -1, [], None
+        for batch in batches:
+            slots, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (np.diff(slots) != 0) | (np.diff(kinds) != 0), [True]))) if len(slots) else np.zeros(0, int)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                p = pivot[a]
-                gap = np.maximum(np.maximum(to_pivot[:, p] - r[b - 1], r[a] - to_pivot[:, p]), 0)
-                bounds.append(np.minimum(dot[:, p] + norm * r[b - 1], (norm**2 + size[a:b].max() - gap**2) / 2))
-            bounds = np.array(bounds)
-            best, names = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-            for i in np.argsort(-bounds.max(1), kind="stable"):
-                # 1e-6 of slack for rounding of the bounds; equal scores may win by their id
-                some = np.flatnonzero(bounds[i] + 1e-6 * (1 + np.abs(bounds[i])) >= best[:, -1])
-                if not len(some):
+                if slots[a] != now:
+                    now, parts, slot = slots[a], [], None
+                if kinds[a] == 0:
+                    parts.append(batch.slice(a, b - a))
                     continue
-                a, b = cuts[i], cuts[i + 1]
-                score = q[some] @ x[a:b].T
-                score[qid[some][:, None] == ids[None, a:b]] = -np.inf
-                score = np.concatenate((best[some], score), axis=1)
-                who = np.concatenate((names[some], np.broadcast_to(ids[a:b], (len(some), b - a))), axis=1)
-                top = np.lexsort((who, -score), axis=1)[:, :k]
-                best[some], names[some] = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
-            row, col = np.nonzero(np.isfinite(best))
-            out = (qid[row], names[row, col], best[row, col].astype(np.int64))
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+                slot = slot or _Slot(known, now, parts)
+                for c in range(a, b, GROUP):
+                    some = batch.slice(c, min(GROUP, b - c))
+                    found = slot.search(_matrix(some.column(3), known.pivots.shape[1]), some.column(2).to_numpy(), some.column(4).to_numpy(), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: F.Column, *, k: int = 20, scale: int = 64, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _annuli(keyed: DataFrame, slot: int) -> tuple[DataFrame, list]:
+    """(cell, id, v, r, size), and the (pivot, low, high, size, slots) of each cell in order."""
+    shares = [i / ANNULI for i in range(1, ANNULI)]
+    told = keyed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", F.array(*[F.lit(x) for x in shares]), 2000).alias("q")).orderBy("pivot").collect()
+    cuts, base = {}, {}
+    for row in told:
+        many = min(ANNULI, -(-row["n"] // slot))
+        cuts[row["pivot"]] = np.unique([row["q"][i * ANNULI // many - 1] for i in range(1, many)])
+        base[row["pivot"]] = sum(len(x) + 1 for x in cuts.values()) - len(cuts[row["pivot"]]) - 1
+
+    def run(batches):
+        for batch in batches:
+            pivot, r = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            cell = np.zeros(len(r), np.int64)
+            for p in np.unique(pivot):
+                cell[pivot == p] = base[p] + np.searchsorted(cuts[p], r[pivot == p])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *batch.columns], names=["cell", "id", "v", "pivot", "r", "size"])
+
+    placed = keyed.mapInArrow(run, "cell long, id long, v array<double>, pivot int, r double, size double")
+    cells = placed.groupBy("cell").agg(F.min("pivot"), F.min("r"), F.max("r"), F.max("size"), F.count(F.lit(1))).orderBy("cell").collect()
+    return placed, [(c[0], c[1], c[2], c[3], c[4], -(-c[5] // slot)) for c in cells]
+
+
+def top_k(vectors: DataFrame, is_query: F.Column, *, k: int = 20, scale: int = 64, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products over
     all rows but its own, ties to the smaller id.  ``is_query`` marks queries."""
     spark = vectors.sparkSession
     rows = scaled(vectors, scale, id_col, vector_col)
-    queries = scaled(vectors.where(is_query), scale, id_col, vector_col).dropDuplicates(["id"])
-    chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(pivots).collect()  # a fixed number of rows
-    counts = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n, dim = counts[0], counts[1] or 1
-    points = np.zeros((max(1, len(chosen)), dim))
+    n, dim, largest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c))))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim = max(dim, 1)
+    if dim * largest**2 >= 2.0**53:
+        raise ValueError(f"components up to {largest} in {dim} dimensions: scores would not be exact")
+    many = pivots or min(PIVOTS[1], max(PIVOTS[0], n // PIVOT_ROWS))
+    chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(many).collect()  # a bounded number of rows
+    points = np.zeros((len(chosen), dim))
     for i, row in enumerate(chosen):
         points[i, : len(row["v"])] = row["v"]
-    slots, groups = max(1, -(-n // SLOT)), max(1, -(-queries.count() // GROUP))
-    slots = max(slots, min(n // 2048, partitions(spark) // groups))
-    # slots are dealt by id, so that a vector that a third of all rows share is in all of them
-    placed = _keyed(rows, points).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
-    index = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("qgrp"))
-    asked = asked.withColumn("qslot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    found = asked.groupBy("qgrp", "qslot").cogroup(index.groupBy("grp", "slot")).applyInArrow(_search(points, k), "query_id long, vec_id long, score long")
+    slot = min(SLOT[1], max(SLOT[0], n // partitions(spark)))
+    placed, cells = _annuli(settle(_keyed(rows, points), "keyed"), slot)
+    index = spark.sparkContext.broadcast(Index(points, np.array([c[1:] for c in cells])))  # PIVOTS * ANNULI cells at most
+    at, first = [], 0
+    for c in cells:
+        at.append((c[0], first, c[5]))
+        first += c[5]
+    slots = spark.createDataFrame(at, "cell long, first long, slots long")
+    filed = placed.join(F.broadcast(slots), "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), "slots")).alias("slot"), F.lit(0).alias("kind"), "id", "v", F.col("r").alias("x"))
+    queries = settle(scaled(vectors.where(is_query), scale, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")).withColumn("least", F.lit(float("-inf"))), "queries")
+
+    def visit(asked: DataFrame, asked_first: bool) -> DataFrame:
+        together = filed.unionByName(_visits(asked, index, asked_first)).repartition(max(partitions(spark), min(first, 100_000)), "slot")
+        return settle(together.sortWithinPartitions("slot", "kind").mapInArrow(_search(index, k), RESULT), "found")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return settle(found, "topk").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = visit(queries, True)
+    kth = found.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+    told = queries.join(kth, "id", "left").select("id", "v", F.coalesce("kth", "least").alias("least"))
+    found = found.unionByName(visit(told, False))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,19 +183,41 @@ def test_packing_limits():
     assert len(full) <= 1  # only the tail, which is cut into powers of two
 
 
-def test_top_k_is_brute_force(spark):
+def brute_top_k(v, k=20):
+    """(query, rank, id, score) of rows (id, vector); zeros pad the shorter, the smallest vector of an id asks."""
+    rows = [(i, np.floor(64 * np.array([*x, *[0.0] * (24 - len(x))]))) for i, x in v if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
+    asks = {}
+    for i, x in rows:
+        if i % 20 == 0 and (i not in asks or tuple(x) < tuple(asks[i])):
+            asks[i] = x
+    out = []
+    for q, x in asks.items():
+        best = sorted((-int(x @ y), i) for i, y in rows if i != q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def test_top_k_is_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    v = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(300)]
+    vec = lambda n=16: [float(x) for x in rng.normal(0, 0.2, n)]
+    v = [(i, vec()) for i in range(300)]
     v += [(400, None), (420, [float("nan")] * 16), (440, [None] * 16), (None, [0.1] * 16), (460, [0.1] * 16), (461, [0.1] * 16)]
-    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
-    got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    m = {i: np.floor(64 * np.array(x)) for i, x in v if i is not None and x and x[0] is not None and np.isfinite(x[0])}
-    for q in [i for i in m if i % 20 == 0]:
-        best = sorted(((-int(m[q] @ x), i) for i, x in m.items() if i != q))[:20]
-        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert set(got) == {i for i in m if i % 20 == 0}
+    v += [(480, vec()), (480, vec()), (480, vec()), (481, []), (482, vec(24)), (500, vec(3)), (-20, vec()), (301, v[7][1]), (301, v[7][1])]
+    ddl = "vec_id long, embedding array<double>, id string, v string, slot string, score string"
+    df = spark.createDataFrame([(*x, "clash", "clash", "clash", "clash") for x in v], ddl)
+    asks = F.col("vec_id") % 20 == 0
+    got = lambda d, **kw: sorted(map(tuple, topk.top_k(d, asks, **kw).collect()))
+    want = brute_top_k(v)
+    assert got(df) == want
+    # many cells, and cells of several slots where a third of all rows are equal
+    monkeypatch.setattr(topk, "SLOT", (16, 16))
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    v += [(1000 + i, v[3][1]) for i in range(200)]
+    df = spark.createDataFrame([(*x, "clash", "clash", "clash", "clash") for x in v], ddl)
+    assert got(df, pivots=8) == brute_top_k(v) and got(df.repartition(7), pivots=40) == brute_top_k(v)
+    assert topk.top_k(df.where("false"), asks).collect() == [] and topk.top_k(df.where("vec_id = 3"), asks).collect() == []
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), asks)
 
 
 def test_forward_sums_all_segmentations():
