@@ -26,8 +26,10 @@ CHUNK = 4 << 20
 DOC_SCHEMA = "block long, seq long, docs binary"
 
 
-def bucket_count(df: DataFrame) -> int:
-    return 2 * partitions(df.sparkSession)
+def bucket_count(docs: DataFrame) -> int:
+    """As many buckets as blocks at least, so that what a bucket receives, a share
+    of each block, does not grow with the input."""
+    return max(2 * partitions(docs.sparkSession), docs.rdd.getNumPartitions())
 
 
 def stabilised(docs: DataFrame, stable: bool) -> DataFrame:

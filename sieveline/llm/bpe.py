@@ -179,7 +179,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, digest: bool = False, stable
     """One row per document: id, n_tokens, ids (array<int>), decoded; with
     ``digest`` instead ids_sha256 and decoded_sha256."""
     slim = stabilised(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), stable)
-    sent = slim.mapInArrow(_send_words(bucket_count(docs)), "block long, bucket long, words binary, lengths binary")
+    sent = slim.mapInArrow(_send_words(bucket_count(slim)), "block long, bucket long, words binary, lengths binary")
     ids = sent.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), "block long, bucket long, counts binary, ids binary")
     schema = f"id long, n_tokens long, ids {'string' if digest else 'array<int>'}, decoded string"
     out = document_chunks(slim).groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(tokenizer_path, digest), schema)

@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, d
     ``carry``, unchanged."""
     carry = carry or []
     slim = stabilised(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]), stable)
-    texts, buckets = slim.select("id", "text"), bucket_count(docs)
+    texts, buckets = slim.select("id", "text"), bucket_count(slim)
     anchors = texts.mapInArrow(_send_anchors(window, gram, buckets), "block long, bucket long, hashes binary, many binary")
     bits = anchors.groupBy("bucket").applyInArrow(_repeated, "block long, bucket long, bits binary, n long")
     windows = document_chunks(texts).groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_windows(window, gram, buckets), "block long, bucket long, hashes binary, low binary, spread binary, spot binary")
