@@ -6,10 +6,10 @@ from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language_id import op4_language_id
 from .licenses import OP3_SQL, op3_licenses
-from .minhash import op6_minhash
+from .minhash import OP6_SQL, op6_minhash
 from .packing import op10_packing
 from .substring_dedup import OP9_SQL, op9_substring_dedup
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .topk import OP8_SQL, op8_topk
 from .toxicity import op5_toxicity
 
@@ -28,7 +28,9 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
     "op3_licenses": OP3_SQL,
+    "op6_minhash": OP6_SQL,
     "op8_topk": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
 }

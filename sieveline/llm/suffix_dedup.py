@@ -203,4 +203,22 @@ def repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDOW
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents")).withColumnRenamed("ref_id", "ref_doc_id")
+    """The spans alone.  Of the earlier places of a span ``repeats`` names one, and
+    which one depends on the order of the sort, so it is no part of the query."""
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_words")
+
+
+OP2_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + {MIN_WORDS - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {MIN_WORDS - 2}, 1))) AS i FROM w)
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM g) WHERE n > 1
+), m AS (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {MIN_WORDS} THEN 0 ELSE 1 END AS new FROM r
+), s AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m
+)
+SELECT doc_id, min(i) - 1 AS start, max(i) - min(i) + {MIN_WORDS} AS n_words FROM s GROUP BY doc_id, span
+"""
