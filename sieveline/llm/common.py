@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Folders of the open ``scratch`` blocks, innermost last.
-_scratch: list[list[str]] = []
+#: What the open ``scratch`` blocks do at their end, innermost last.
+_scratch: list[list[Callable[[], None]]] = []
 #: Times the wanted number of rows that a sample's threshold lets pass.
 SPARE = 4
 
@@ -34,8 +34,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
+    at_end(lambda: delete(spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,14 +50,20 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch() -> Iterator[None]:
     """Delete what was settled in the block at its end, when its result is written."""
     _scratch.append([])
     try:
         yield
     finally:
-        for folder in _scratch.pop():
-            delete(spark, folder)
+        for step in _scratch.pop():
+            step()
+
+
+def at_end(step: Callable[[], None]) -> None:
+    """Do ``step`` at the end of the innermost ``scratch`` block, if there is one."""
+    if _scratch:
+        _scratch[-1].append(step)
 
 
 def smallest_hashes(rows: DataFrame, group: str, most: int, groups: int) -> DataFrame:

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_settled, partitions, settle, shared_dir, table
+from .common import at_end, delete, partitions, settle, shared_dir, table
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -71,11 +71,23 @@ class DigestIndex:
         rows = new.repartition(self.buckets, "digest")
         rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
+    def drop(self) -> None:
+        """Delete the index, files and all."""
+        self.deregister()
+        for folder in (self.path, f"{self.path}-buckets"):
+            delete(self.spark, folder)
+
     def deregister(self) -> None:
         """Forget the table in this session's catalog; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def _passing_index(spark: SparkSession) -> DigestIndex:
+    index = DigestIndex(spark)
+    at_end(index.drop)
+    return index
+
+
 def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest"))
 
@@ -86,7 +98,7 @@ def assign(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     this batch), kept."""
     spark = docs.sparkSession
     batch = settle(digests_of(docs, id_col, text_col), "digests")
-    index = index or DigestIndex(spark)
+    index = index or _passing_index(spark)
     index.append(batch)
     sizes = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = sizes.join(index.read().select("digest", F.col("id").alias("keep_id")).hint("merge"), "digest")
@@ -97,7 +109,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` that stay, all columns; one row of each text."""
     spark = docs.sparkSession
     batch = settle(digests_of(docs, id_col, text_col), "digests")
-    index = DigestIndex(spark)
+    index = _passing_index(spark)
     index.append(batch)
     keep = index.read().select(F.col("id").alias("__keep"))
     # ids that stay are unique unless the input repeats an id or has null ids
@@ -127,4 +139,3 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
-__all__ = ["DigestIndex", "assign", "digest", "digests_of", "distinct_documents", "drop_settled", "op1_exact_dedup"]
