@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import shared_dir, table
+from sieveline.llm.common import delete, scratch, shared_dir, table
 from sieveline.llm.exact_dedup import distinct_documents
 from sieveline.llm.minhash import one_of_each
 from sieveline.llm.packing import pack
@@ -64,15 +64,20 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained classifier has no SQL; the stages are tested against brute force.
+#: A trained classifier and a tokenizer have no SQL; tests/llm/test_pipeline.py
+#: compares each stage and the run with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``, each written to the shared folder.  What a stage
+    settled, and the result that it read, are deleted once its own is written."""
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if done:
+            delete(spark, done)
+        docs, done = spark.read.parquet(path), path
     return docs
