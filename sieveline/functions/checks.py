@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import spaced, strip
+
 # The Verhoeff scheme: products in the dihedral group of the pentagon, and the
 # powers of one permutation (fixed value).
 _PERMUTATION = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
@@ -23,7 +25,7 @@ while len(POWERS) < 8:
 
 def compact(raw: Column) -> Column:
     """Without white space and hyphens."""
-    return F.regexp_replace(raw, r"[\s-]", "")
+    return F.regexp_replace(raw, spaced(r"[\s-]"), "")
 
 
 def verhoeff(digits: Column) -> Column:
@@ -36,6 +38,12 @@ def verhoeff(digits: Column) -> Column:
     return F.when(digits.rlike(r"^[0-9]+$"), fold == 0).otherwise(F.lit(False))
 
 
+def verhoeff_check_digit(digits: Column) -> Column:
+    """The digit that makes a string of ASCII digits valid when put behind it; null for others."""
+    fits = lambda d: verhoeff(F.concat(digits, d.cast("string")))
+    return F.when(digits.rlike(r"^[0-9]+$"), F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), fits), F.lit(0)).cast("string"))
+
+
 def luhn(digits: Column) -> Column:
     return F.when(digits.rlike(r"^[0-9]+$"), F.call_function("luhn_check", digits)).otherwise(F.lit(False))
 
@@ -78,15 +86,15 @@ def is_payment_card(raw: Column) -> Column:
 
 def is_international_phone(raw: Column) -> Column:
     d = F.regexp_replace(raw, r"[^0-9]", "")
-    return F.trim(raw).startswith("+") & F.length(d).between(8, 15) & ~one_digit_only(d)
+    return strip(raw).startswith("+") & F.length(d).between(8, 15) & ~one_digit_only(d)
 
 
 def is_pan(raw: Column) -> Column:
-    return F.upper(F.regexp_replace(raw, r"\s", "")).rlike(r"^[A-Z]{3}[PCHFATBLJGK][A-Z][0-9]{4}[A-Z]$")
+    return _upper(raw).rlike(r"^[A-Z]{3}[PCHFATBLJGK][A-Z][0-9]{4}[A-Z]$")
 
 
 def is_gstin(raw: Column) -> Column:
-    v = F.upper(F.regexp_replace(raw, r"\s", ""))
+    v = _upper(raw)
     alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     code = lambda i: F.instr(F.lit(alphabet), F.substring(v, i + 1, F.lit(1))) - 1
     total = F.aggregate(F.sequence(F.lit(0), F.lit(13)), F.lit(0), lambda s, i: s + F.floor(code(i) * (1 + i % 2) / 36).cast("int") + code(i) * (1 + i % 2) % 36)
@@ -106,7 +114,7 @@ STATES = "AN AP AR AS BR CH CG CT DD DL DN GA GJ HP HR JH JK KA KL LA LD MH ML M
 
 
 def _upper(raw: Column, drop: str = r"\s") -> Column:
-    return F.upper(F.regexp_replace(raw, drop, ""))
+    return F.upper(F.regexp_replace(raw, spaced(drop), ""))
 
 
 def is_ifsc(raw: Column) -> Column:
@@ -119,13 +127,13 @@ def is_known_ifsc(raw: Column) -> Column:
 
 def is_indian_mobile(raw: Column) -> Column:
     """Ten digits from 6-9 on; 91 and 0 are prefixes only where they make the number too long."""
-    d = F.regexp_replace(raw, r"[\s()+-]", "")
+    d = F.regexp_replace(raw, spaced(r"[\s()+-]"), "")
     local = F.regexp_replace(d, r"^(?:91(?=[0-9]{10}$)|0(?=[0-9]{10}$))", "")
     return local.rlike(r"^[6-9][0-9]{9}$") & ~one_digit_only(local)
 
 
 def is_indian_landline(raw: Column) -> Column:
-    d = F.regexp_replace(raw, r"[\s()-]", "")
+    d = F.regexp_replace(raw, spaced(r"[\s()-]"), "")
     return d.rlike(r"^0[1-9][0-9]{8,9}$") & ~one_digit_only(F.substring(d, F.lit(2), F.length(d)))
 
 
@@ -163,8 +171,9 @@ def is_iban(raw: Column) -> Column:
 
 
 def is_mrz_line(raw: Column) -> Column:
-    """A line of a machine-readable zone, with slack for misread fillers."""
-    line = F.regexp_replace(raw, r"\s", "")
+    """A line of a machine-readable zone, with slack for misread fillers.  The
+    lengths and least numbers of fillers are fixed values."""
+    line = F.regexp_replace(raw, spaced(r"\s"), "")
     fillers = F.regexp_count(line, F.lit("[<«]"))
     padded = (fillers >= 2) & line.rlike(r"[<«KL]{8,}\d{0,2}$") & line.rlike(r"^[PIVAC][A-Z<«]")
     dense = (fillers >= 3) & line.rlike("[A-Z]") & line.rlike(r"[<«]{2}|\d{6}")
@@ -174,15 +183,17 @@ def is_mrz_line(raw: Column) -> Column:
 #: Endings of an address in words, and words before "dot" in prose; fixed values.
 WORDED_ENDINGS = "com in org net co edu gov io ai uk us de fr info biz me app dev xyz ac nic gov.in co.in ac.in".split()
 NOT_A_DOMAIN = "the a an my our your his her their this that it them us me you all any some home work noon night day one".split()
+#: "at" and "dot" between the parts of a worded address; in brackets; in capitals.  Fixed values.
+_BRACKETED, _SHOUTED = r"(?i:[\[({<]\s*(?:at|dot)\s*[\])}>])", r"\s(?:AT|DOT)\s"
 _SPELT = r"(?i:\s*(?:\[\s*(?:at|dot)\s*\]|\(\s*(?:at|dot)\s*\)|\{\s*(?:at|dot)\s*\}|<\s*(?:at|dot)\s*>|\s+(?:at|dot)\s+)\s*)"
 
 
 def is_obfuscated_email(raw: Column) -> Column:
     """An address with "at" and "dot" spelt out: brackets or capitals are meant so;
     plain words need a known ending and a domain that is no common word."""
-    text = F.trim(raw)
-    parts = F.filter(F.split(text, _SPELT), lambda x: x != "")
+    text = strip(raw)
+    parts = F.filter(F.split(text, spaced(_SPELT)), lambda x: x != "")
     ending, domain = F.lower(F.try_element_at(parts, F.lit(-1))), F.lower(F.try_element_at(parts, F.lit(2)))
-    meant = text.rlike(r"(?i:[\[({<]\s*(?:at|dot)\s*[\])}>])") | text.rlike(r"\s(?:AT|DOT)\s")
+    meant = text.rlike(spaced(_BRACKETED)) | text.rlike(spaced(_SHOUTED))
     said = ending.isin(WORDED_ENDINGS) & ~domain.isin(NOT_A_DOMAIN)
     return (F.size(parts) >= 3) & F.when(meant, ending.rlike("^[a-z]{2,6}$")).otherwise(said)

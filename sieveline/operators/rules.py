@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..functions.text import normalise_digits, whole_words
+from ..functions.text import normalise_digits, spaced, whole_words
 from .spans import ascii_borders, settle_spans, spans
 
 RANK = {"certain": 0, "high": 1, "medium": 2, "low": 3}
@@ -95,7 +95,7 @@ RULES = [
     Rule(22, "passport", r"(?<![A-Z0-9<«])[A-Z0-9<«]{28,50}(?![A-Z0-9<«])", "high", r"[<«]", checks.is_mrz_line),
     Rule(23, "otp", rf"(?i:\b(?:{_CODE_CUE})\b[^\d\n]{{0,40}}?(\d{{4,8}})(?!\d))", "high", r"\d{4}", group=True),
     Rule(24, "otp", rf"(?i:(?<!\d)(\d{{4,8}})\s+is\s+(?:your|the)\s+(?:{_CODE_SAID})\b)", "high", r"\d{4}\s+[iI]", group=True),
-    Rule(25, "secret", rf"\b(?:{_KEYS})", "certain", r"[sprk]k[-_]|gh|xox|AKIA|AIza|eyJ|nvapi-|hf_|glpat-"),
+    Rule(25, "secret", rf"\b(?:{_KEYS})", "certain", r"[spr]k[-_]|ghp_|github_pat_|xox[baprs]-|AKIA|AIza|eyJ|nvapi-|hf_|glpat-"),
     Rule(26, "secret", rf"(?i:\b(?:{_KEY_CUE}){_SAME_LINE}[:=]{_SAME_LINE}(\S{{4,80}}))", "high", r"[:=]", lambda v: ~v.endswith(":"), group=True),
     Rule(27, "identity_field", rf"(?i:\b(?:{_MEMBER_CUE}){_SAME_LINE}[.:#-]?{_SAME_LINE}([A-Z0-9][A-Z0-9-]{{5,19}})\b)", "high", r"\d", lambda v: v.rlike(r"\d"), group=True),
     Rule(28, "payment_field", rf"(?i:\b(?:{_EXPIRY_CUE}){_SAME_LINE}[:.]?{_SAME_LINE}((?:0[1-9]|1[0-2])\s*/\s*(?:\d{{2}}|20\d{{2}}))\b)", "high", r"\d\s*/", group=True),
@@ -114,7 +114,7 @@ def _inner(match: Column, pattern: str) -> Column:
 def rule_spans(text: Column, plain: Column, rule: Rule) -> Column:
     """The validated spans of one rule in ``plain``, the text with digits folded;
     values from the original text."""
-    found = F.when(plain.rlike(rule.gate), spans(plain, rule.pattern))
+    found = F.when(plain.rlike(spaced(rule.gate)), spans(plain, rule.pattern))
     if rule.group:
         found = F.transform(found, lambda x: _inner(x, rule.pattern))
     if rule.check:
@@ -129,6 +129,19 @@ def rule_spans(text: Column, plain: Column, rule: Rule) -> Column:
     return F.transform(found, item)
 
 
+def rejected(text: Column, rules: list[Rule] | None = None) -> Column:
+    """How many matches of checked rules their checks refuse."""
+    plain = normalise_digits(text)
+
+    def refused(rule: Rule) -> Column:
+        found = F.when(plain.rlike(spaced(rule.gate)), spans(plain, rule.pattern))
+        found = F.transform(found, lambda x: _inner(x, rule.pattern)) if rule.group else found
+        return F.coalesce(F.size(F.filter(found, lambda x: ~rule.check(x["value"]))), F.lit(0))
+
+    counts = [F.greatest(refused(r), F.lit(0)) for r in rules or RULES if r.check]
+    return F.aggregate(F.array(*counts), F.lit(0), lambda a, x: a + x)
+
+
 def scan_text(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] | None = None) -> DataFrame:
     """One row per finding: id, kind, confidence, rule, start, end, value.
 
@@ -136,6 +149,7 @@ def scan_text(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] | Non
     nothing is shuffled.  Null texts have no findings."""
     arrays = [F.coalesce(rule_spans(F.col("t"), F.col("p"), r), F.array()) for r in rules or RULES]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).withColumn("p", normalise_digits(F.col("t")))
-    found = rows.select("id", F.concat(*arrays).alias("f")).where(F.size("f") > 0)
-    each = found.select("id", F.explode(settle_spans(F.col("f"))).alias("x"))
+    found = rows.select("id", F.concat(*arrays).alias("f"))
+    # outer, as a filter on the array would move below the projection and compute it twice, digits folded anew for each rule
+    each = found.select("id", F.explode_outer(settle_spans(F.col("f"))).alias("x")).where("x is not null")
     return each.select(F.col("id").alias(id_col), "x.kind", "x.confidence", "x.rule", "x.start", "x.end", "x.value")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import spaced
+
 SPAN = "array<struct<start:int,end:int,value:string>>"
 _W = "[A-Za-z0-9_]"
 #: An ASCII word border; the engine's own ``\b`` looks at all letters.
@@ -12,16 +14,30 @@ BORDER = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 
 def ascii_borders(pattern: str) -> str:
-    return pattern.replace(r"\b", BORDER)
+    """A rule's pattern for the engine: ASCII word borders, all white space."""
+    return spaced(pattern.replace(r"\b", BORDER))
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """All matches as array<struct<start, end, value>>; offsets count code points from 0.
+    A pattern that is a column is taken as it is.
 
     The matches are marked in one pass and the marked text is split, so the cost
     is that of one replacement whatever the number of matches."""
     clean = F.translate(text, "\x01\x02", "  ")
-    parts = F.split(F.regexp_replace(clean, f"({ascii_borders(pattern)})", "\x01$1\x02"), "\x01")
+    if isinstance(pattern, str):
+        return _between_marks(F.regexp_replace(clean, f"({ascii_borders(pattern)})", "\x01$1\x02"))
+    return _between_marks(F.regexp_replace(clean, F.concat(F.lit("("), pattern, F.lit(")")), F.lit("\x01$1\x02")))
+
+
+def group_spans(text: Column, before: str, group: str, after: str) -> Column:
+    """The same for what stands between ``before`` and ``after``; none of the patterns captures."""
+    clean = F.translate(text, "\x01\x02", "  ")
+    return _between_marks(F.regexp_replace(clean, f"({ascii_borders(before)})({ascii_borders(group)}){ascii_borders(after)}", "$1\x01$2\x02"))
+
+
+def _between_marks(marked: Column) -> Column:
+    parts = F.split(marked, "\x01")
     start = F.struct(F.length(parts[0]).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
@@ -32,9 +48,11 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
 
 
-def settle_spans(found: Column) -> Column:
-    """Of an array of structs (rank, len, rule, start, end, ...) the greedy choice:
-    by rank, then longest, then rule and place, dropping what overlaps a chosen one."""
+def settle_spans(found: Column, claimed: Column | None = None) -> Column:
+    """Of an array of structs (..., start, end, ...) the greedy choice in the order of
+    the structs, dropping what overlaps a chosen or claimed one."""
+    if claimed is not None:
+        found = F.filter(found, lambda x: ~F.coalesce(F.exists(claimed, lambda a: (x["start"] < a["end"]) & (x["end"] > a["start"])), F.lit(False)))
     empty = F.filter(found, lambda x: F.lit(False))
     clash = lambda acc, x: F.exists(acc, lambda a: (x["start"] < a["end"]) & (x["end"] > a["start"]))
     return F.aggregate(F.array_sort(found), empty, lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))))

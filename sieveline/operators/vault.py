@@ -1,8 +1,11 @@
 """Tokens in place of values: minting, rewriting and the way back.
 
-Values never leave through ``vault_view``; only ``mint_tokens`` and
-``restore_texts`` handle them.  A session is any column that groups rows; one
-token stands for one value of one kind within it.
+A session is any column that groups rows; one token stands for one value of one
+kind within it.  Of a sealed kind the vault keeps no value: it holds a
+fingerprint, by which the same text gets the same token, and nothing leads back
+from it.  A sealing without a text (a filled field that was never read) gets a
+token of its own each time.  Values never leave through ``vault_view``; only
+``mint_tokens`` and ``restore_texts`` handle them.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, escape_tokens, preview
+from ..functions.text import TOKEN, escape_tokens, preview, tokens_in
 
 #: Prefix of the tokens of a kind; kinds that share one share its numbers.  Fixed values.
 PREFIX = {
@@ -29,28 +32,57 @@ def prefix_of(kind: Column) -> Column:
     return F.try_element_at(pairs, kind)
 
 
+def fingerprint(value: Column) -> Column:
+    """What stands for a sealed value: equal for equal values, no way back."""
+    return F.when(value.isNotNull(), F.concat(F.sha2(value, 256), F.lit("-"), F.length(value).cast("string")))
+
+
+def is_sealed(kind: Column) -> Column:
+    return kind.isin(SEALED)
+
+
 def mint_tokens(found: DataFrame, session: str, order: list[str]) -> DataFrame:
-    """(session, kind, value, token): one token a distinct value, numbered within
-    a session and prefix by first appearance in ``order``.
+    """(session, kind, value, fingerprint, token): one token a distinct value, numbered
+    within a session and prefix by first appearance in ``order``.  ``value`` is null
+    for sealed kinds, ``fingerprint`` for all others.  Where ``found`` has a column
+    ``sealed``, its true rows are sealings without a text, one token each; such a
+    token carries its place in ``order`` as the fingerprint.
 
     Values are grouped before they are numbered, so a value that recurs crosses
-    the wire once a task; the numbering sorts one session's distinct values."""
-    first = found.where(F.col("value").isNotNull()).groupBy(session, "kind", "value").agg(F.min(F.struct(*order)).alias("first"))
-    rows = first.withColumn("prefix", prefix_of(F.col("kind")))
-    number = F.row_number().over(Window.partitionBy(session, "prefix").orderBy("first", "kind", "value"))
-    return rows.select(session, "kind", "value", F.concat(F.lit("<"), F.col("prefix"), F.lit("_"), number.cast("string"), F.lit(">")).alias("token"))
+    the wire once a task; the numbering sorts one session's distinct values.  A
+    finding of a kind without a prefix is an error."""
+    rows = found.withColumn("prefix", F.coalesce(prefix_of(F.col("kind")), F.raise_error(F.concat(F.lit("no token for kind "), F.col("kind")))))
+    secret = is_sealed(F.col("kind"))
+    print_of = F.when(secret, fingerprint(F.col("value")))
+    if "sealed" in found.columns:
+        print_of = F.when(F.col("sealed"), F.to_json(F.struct(*order))).otherwise(print_of)
+        rows = rows.where(F.col("sealed") | F.col("value").isNotNull()).withColumn("value", F.when(~F.col("sealed"), F.col("value")))
+    else:
+        rows = rows.where(F.col("value").isNotNull())
+    rows = rows.withColumn("fingerprint", print_of).withColumn("value", F.when(~secret, F.col("value")))
+    first = rows.groupBy(session, "kind", "value", "fingerprint", "prefix").agg(F.min(F.struct(*order)).alias("first"))
+    number = F.row_number().over(Window.partitionBy(session, "prefix").orderBy("first", "kind", "value", "fingerprint"))
+    return first.select(session, "kind", "value", "fingerprint", F.concat(F.lit("<"), F.col("prefix"), F.lit("_"), number.cast("string"), F.lit(">")).alias("token"))
 
 
 def vault_view(vault: DataFrame) -> DataFrame:
     """The vault without its values; sealed kinds show nothing."""
-    shown = F.when(F.col("kind").isin(SEALED), F.lit(None)).otherwise(preview(F.col("value")))
-    return vault.select(*[c for c in vault.columns if c != "value"], shown.alias("preview"))
+    return vault.select(*[c for c in vault.columns if c not in ("value", "fingerprint")], preview(F.col("value")).alias("preview"))
+
+
+def with_tokens(found: DataFrame, vault: DataFrame, session: str) -> DataFrame:
+    """``found`` with the token of each finding that has a value."""
+    keys = found.withColumn("_v", F.when(is_sealed(F.col("kind")), fingerprint(F.col("value"))).otherwise(F.col("value")))
+    known = vault.select(session, "kind", F.coalesce("value", "fingerprint").alias("_v"), "token")
+    by = list(dict.fromkeys([session, "kind", "_v"]))
+    return keys.join(known, by).drop("_v")
 
 
 def splice(text: Column, pieces: Column) -> Column:
-    """``text`` with each of ``pieces`` (structs of start, end, value, token) replaced
+    """struct<text, replaced>: ``text`` with each of ``pieces`` (structs of start, end, value, token) replaced
     by its token, taken from left to right; a piece that overlaps the one before,
-    lies outside or differs from the text is skipped.  Kept text is escaped."""
+    lies outside or differs from the text is skipped, and not counted.  Kept text is
+    escaped."""
     fits = lambda acc, x: (x["start"] >= acc["at"]) & (x["start"] < x["end"]) & (x["end"] <= F.length(text)) & (F.substring(text, x["start"] + 1, x["end"] - x["start"]) == x["value"])
     kept = lambda acc, x: escape_tokens(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]))
 
@@ -59,36 +91,38 @@ def splice(text: Column, pieces: Column) -> Column:
         return F.when(fits(acc, x), put).otherwise(acc)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), escape_tokens(F.substring(text, acc["at"] + 1, F.length(text))))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), escape_tokens(F.substring(text, acc["at"] + 1, F.length(text))))
+    end = lambda acc: F.struct(rest(acc).alias("text"), (F.size(acc["out"]) / 2).cast("int").alias("replaced"))
     return F.aggregate(F.array_sort(pieces), start, step, end)
 
 
 def rewrite_texts(df: DataFrame, found: DataFrame, vault: DataFrame, key: list[str], session: str, text_col: str) -> DataFrame:
     """``df`` with the findings in ``text_col`` replaced by tokens.  ``key`` identifies
     a row of ``df`` and of ``found``; rows without findings are escaped alone."""
-    by = list(dict.fromkeys([session, "kind", "value"]))
-    told = found.join(vault.select(*by, "token"), by)
-    pieces = told.groupBy(*key).agg(F.collect_list(F.struct("start", "end", "value", "token")).alias("_pieces"))
+    pieces = with_tokens(found, vault, session).groupBy(*key).agg(F.collect_list(F.struct("start", "end", "value", "token")).alias("_pieces"))
     joined = df.join(pieces, key, "left")
     text = F.col(text_col)
-    out = F.when(F.col("_pieces").isNull(), escape_tokens(text)).otherwise(splice(text, F.col("_pieces")))
+    out = F.when(F.col("_pieces").isNull(), escape_tokens(text)).otherwise(splice(text, F.col("_pieces"))["text"])
     return joined.withColumn(text_col, out).drop("_pieces")
 
 
 def restore_texts(df: DataFrame, vault: DataFrame, session: str, text_col: str) -> DataFrame:
     """``df`` with known tokens replaced by their values, in one pass so that values
-    that look like tokens stay, and ``sealed`` and ``unknown``: the tokens left."""
-    known = vault.groupBy(session).agg(
-        F.map_from_entries(F.collect_list(F.when(~F.col("kind").isin(SEALED), F.struct("token", "value")))).alias("_values"),
-        F.collect_set(F.when(F.col("kind").isin(SEALED), F.col("token"))).alias("_sealed"),
+    that look like tokens stay, and ``sealed`` and ``unknown``: the tokens left.
+
+    The tokens of the texts meet the vault in a join by session and token, so a
+    row carries the values it needs and never the whole vault of its session."""
+    row = F.monotonically_increasing_id()
+    parts = F.split(F.regexp_replace(F.translate(F.col(text_col), "\x01", " "), f"({TOKEN})", "\x01$1\x01"), "\x01")
+    keyed = df.withColumn("_row", row).withColumn("_parts", parts)
+    asked = keyed.select("_row", session, F.explode(tokens_in(F.col(text_col))).alias("token"))
+    told = asked.join(vault.select(session, "token", "value", F.lit(True).alias("known")), [session, "token"], "left")
+    per_row = told.groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("token", "value")))).alias("_values"),
+        F.array_sort(F.collect_list(F.when(F.col("known") & F.col("value").isNull(), F.col("token")))).alias("sealed"),
+        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("token")))).alias("unknown"),
     )
-    joined = df.join(known, session, "left")
-    marked = F.split(F.regexp_replace(F.translate(F.col(text_col), "\x01", " "), f"({TOKEN})", "\x01$1\x01"), "\x01")
-    value = lambda x: F.coalesce(F.try_element_at(F.col("_values"), x), x)
-    is_token = lambda x: x.rlike(f"^{TOKEN}$")
-    rows = joined.withColumn("_parts", marked)
-    left = F.array_sort(F.array_distinct(F.filter("_parts", lambda x: is_token(x) & F.coalesce(~F.map_contains_key("_values", x), F.lit(True)))))
-    no = F.array().cast("array<string>")
-    sealed = F.filter(left, lambda x: F.array_contains(F.coalesce("_sealed", no), x))
-    text = F.when(F.col(text_col).contains("<"), F.array_join(F.transform("_parts", value), "")).otherwise(F.col(text_col))
-    return rows.withColumn("sealed", sealed).withColumn("unknown", F.array_except(left, F.coalesce("_sealed", no))).withColumn(text_col, text).drop("_values", "_sealed", "_parts")
+    joined = keyed.join(per_row, "_row", "left")
+    text = F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_parts", lambda x: F.coalesce(F.try_element_at(F.col("_values"), x), x)), ""))
+    no = F.when(F.col(text_col).isNotNull(), F.array().cast("array<string>"))
+    return joined.withColumn("sealed", F.coalesce("sealed", no)).withColumn("unknown", F.coalesce("unknown", no)).withColumn(text_col, text).drop("_row", "_parts", "_values")

@@ -36,7 +36,7 @@ def test_labelled_rules(spark):
     (iso_date, "05/06/2026", None), (iso_date, "23/09/26", None), (iso_date, "23rd September, 2026", "2026-09-23"), (iso_date, "Sep 23 2026", "2026-09-23"), (iso_date, "1 Sept. 2026", "2026-09-01"), (iso_date, "1 marzipan 2026", None),
     (iso_time, "3:30 pm", "15:30"), (iso_time, "12 am", "00:00"), (iso_time, "15.30", "15:30"), (iso_time, "24:00", None), (iso_time, "13 pm", None), (iso_time, "1:02:03 p.m.", "13:02:03"),
     (iso_month, "9/2026", "2026-09"), (iso_month, "Sept 2026", "2026-09"), (iso_month, "13/2026", None), (iso_datetime, "23 Sep 2026, 3:30 pm", "2026-09-23T15:30"), (iso_datetime, "2026-09-23T15:30", "2026-09-23T15:30"),
-    (plain_number, "Rs. 1,20,000.50", "1,20,000.50".replace(",", "")), (plain_number, "12,5", None), (plain_number, "₹ 12,000", "12000"), (plain_number, "twelve", None), (iso_date, None, None), (plain_number, "", None),
+    (plain_number, "Rs. 1,20,000.50", "1,20,000.50".replace(",", "")), (plain_number, "12,5", None), (plain_number, "₹ 12,000", "12000"), (plain_number, "twelve", None), (iso_date, None, None), (plain_number, "", None), (iso_date, "\t2024-02-09 \n", "2024-02-09"), (iso_date, "23\u00a0Sep\u00a02026", "2026-09-23"), (plain_number, "\u00a0-12.5 inr", "-12.5"), (plain_number, "1e3", "1e3"),
 ])
 def test_field_formats(spark, fn, text, value):
     assert one(spark, fn(F.lit(text).cast("string"))) == [value]
@@ -47,7 +47,8 @@ def test_field_formats(spark, fn, text, value):
 ])
 def test_fit_to_field(spark, text, kind, limit, label, value):
     got = one(spark, fit_to_field(F.lit(text), F.lit(kind), F.lit(limit).cast("int"), F.lit(label).cast("string")))[0]
-    assert (got.ok, got.value) == (value is not None, value)
+    assert (got.ok, got.value) == (value is not None, value) and (got.reason is None) == got.ok
+    assert (got.note is None) == (not got.ok or got.value == text)
 
 
 def test_text_functions(spark):
@@ -63,7 +64,12 @@ def test_vault(spark):
     found = scan_text(df, "key", "text").join(df.select("key", "conv", "turn"), "key")
     vault = mint_tokens(found, "conv", ["turn", "start"]).cache()
     tokens = {(r.conv, r.value): r.token for r in vault.collect()}
-    assert tokens == {(1, "a@x.in"): "<EMAIL_1>", (1, "b@x.in"): "<EMAIL_2>", (1, "c@x.in"): "<EMAIL_3>", (1, "Tiger@2024!"): "<SECRET_1>", (2, "b@x.in"): "<EMAIL_1>"}
+    assert tokens == {(1, "a@x.in"): "<EMAIL_1>", (1, "b@x.in"): "<EMAIL_2>", (1, "c@x.in"): "<EMAIL_3>", (1, None): "<SECRET_1>", (2, "b@x.in"): "<EMAIL_1>"}
+    seals = found.select("conv", "turn", "start", F.lit("credential_field").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("sealed"))
+    both = found.select("conv", "turn", "start", "kind", "value", F.lit(False).alias("sealed")).unionByName(seals.where("conv = 2"))
+    assert {r.token for r in mint_tokens(both, "conv", ["turn", "start"]).where("conv = 2").collect()} == {"<EMAIL_1>", "<SECRET_1>"}
+    with pytest.raises(Exception, match="no token for kind"):
+        mint_tokens(found.withColumn("kind", F.lit("shoe_size")), "conv", ["turn", "start"]).collect()
     assert {r.preview for r in vault_view(vault).collect()} == {None, "a•••••", "b•••••", "c•••••"}
     safe = rewrite_texts(df, found, vault, ["key"], "conv", "text")
     got = {r.key: r.text for r in safe.collect()}
