@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import TOKEN
 from ..store import stored
 from .capture import FIELDS, detect, field_rows, text_nodes
 from .vault import mint_tokens, splice, with_tokens
@@ -78,11 +79,12 @@ def titles(nodes: DataFrame) -> DataFrame:
 
 def residual(nodes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """What detection still finds in rewritten nodes, and in ``heads`` (capture_id, text:
-    a URL or title): findings in text, other than what form fields declare."""
-    left = detect(nodes).where("shape = 'text' and tier <> 1")
+    a URL or title): findings in text, other than what form fields declare, and other
+    than tokens (a token behind "Password:" is no password)."""
+    left = detect(nodes)
     if heads is not None:
-        left = left.unionByName(detect(text_nodes(heads, "capture_id", "text")).where("shape = 'text' and tier <> 1"))
-    return left
+        left = left.unionByName(detect(text_nodes(heads, "capture_id", "text")))
+    return left.where("shape = 'text' and tier <> 1").where(~F.col("value").rlike(rf"^{TOKEN}\W*$"))
 
 
 def sanitize_texts(df: DataFrame, id_col: str, text_col: str) -> dict[str, DataFrame]:

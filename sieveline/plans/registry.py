@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions.text import DIGIT_BLOCKS, INJECTIONS, TASKS, classify_task, injection, mask, normalise_digits, site_of
 from ..operators.rules import RULES, scan_text
-from . import session
+from . import captures, fixtures, session
 
 BY_NUMBER = {r.number: r for r in RULES}
 
@@ -143,5 +143,5 @@ ORACLE_SQL = {
     "pii_quality_join": f"SELECT quality, count(*) AS docs, CAST(count(h.doc_id) AS BIGINT) AS with_pii FROM documents d JOIN labels USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM ({_BOTH_SQL})) h USING (doc_id) GROUP BY quality",
 }
 
-QUERIES |= session.QUERIES
-ORACLE_SQL |= session.ORACLE_SQL
+QUERIES |= session.QUERIES | fixtures.QUERIES | captures.QUERIES
+ORACLE_SQL |= session.ORACLE_SQL | fixtures.ORACLE_SQL | captures.ORACLE_SQL
