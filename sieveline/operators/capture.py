@@ -129,6 +129,16 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy("capture_id", rank[F.col("confidence")], "tier", "node_id", "start")
 
 
+def is_visible(viewport_height: Column) -> Column:
+    """Whether a node's box meets the screen, of which it holds the top and height."""
+    return (F.col("bbox.y") < viewport_height) & (F.col("bbox.y") + F.col("bbox.h") > 0)
+
+
+def covered_values(found: DataFrame) -> DataFrame:
+    """(capture_id, n): distinct values by kind that were read from pictures and covered."""
+    return found.groupBy("capture_id").agg(F.count_distinct("kind", "value").alias("n"))
+
+
 def text_nodes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Plain texts as captures of one paragraph each; blank ones are left out."""
     return df.where(F.regexp_replace(text_col, ascii_borders(r"\s+"), "") != "").select(

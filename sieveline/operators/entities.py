@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,12 @@ def _occurrences(text: Column, names: Column) -> Column:
     return F.flatten(F.transform(F.filter(names, lambda n: F.contains(text, n["name"])), of))
 
 
+@lru_cache(maxsize=64)
+def _array(rule: Entity, gateway: int) -> Column:
+    """``_proposed`` of the column t; made once for each JVM."""
+    return F.coalesce(_proposed(F.col("t"), rule), F.array())
+
+
 def entity_findings(rows: DataFrame, key: list[str], text_col: str = "text", *, aggressive: bool = False) -> DataFrame:
     """One row per finding: the key, kind, confidence, rule, start, end, value.
 
@@ -147,7 +155,7 @@ def entity_findings(rows: DataFrame, key: list[str], text_col: str = "text", *,
     opt = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
     slim = rows.where(F.col(text_col).isNotNull()).select(*key, F.translate(text_col, "\x01\x02", "  ").alias("t"), opt("claimed", CLAIMS), opt("names", NAMES), opt("whole", "boolean"), opt("cell", "boolean"))
     t, empty = F.col("t"), F.array()
-    arrays = [F.coalesce(_proposed(t, r), empty) for r in (*ENTITIES, *([BARE] if aggressive else []))]
+    arrays = [_array(r, id(SparkContext._gateway)) for r in (*ENTITIES, *([BARE] if aggressive else []))]
     if "names" in have:
         arrays.append(F.coalesce(_occurrences(t, F.col("names")), empty))
     if "whole" in have:

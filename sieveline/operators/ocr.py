@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import approximate_spans, corrected_identifiers, fold_read, mrz_names, original_place, repair_case, repair_labels
-from ..functions.names import NEVER_ALIGNED, among
+from ..functions.names import NEVER_ALIGNED, among, is_name_header, looks_like_name_cell, takes_single_word
 from ..functions.text import fold, let, mask, spaced, strip
 from ..store import stored
 from .capture import name_findings, pattern_findings, text_nodes
@@ -138,7 +138,9 @@ def ocr_findings(lines: DataFrame, tree: DataFrame | None = None) -> DataFrame:
 
     1. The detectors run over the joined and repaired text of each block.
     2. Identifiers that were misread are corrected by shape, with the values known so far.
-    3. All values known now, also from the page's ``tree`` findings (capture_id, kind,
+    3. Beside a card number a line in capitals is its holder.
+    4. Cells under a column headed as names are names.
+    5. All values known now, also from the page's ``tree`` findings (capture_id, kind,
        value), are sought in every line.
 
     Where findings of a line overlap the earlier step keeps its own; a value found twice
@@ -167,18 +169,81 @@ def ocr_findings(lines: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     fixed = lines.join(so_far, "capture_id", "left").select("capture_id", "block_id", "line_no", F.explode(corrected_identifiers(F.col("text"), F.coalesce("_known", empty))).alias("x"))
     second = stored(fixed.select("capture_id", "block_id", "line_no", "x.start", "x.end", "x.kind", F.when(F.col("x.proven"), "certain").otherwise("high").alias("confidence"), "x.value", F.lit(2).alias("step")), "ocr-corrected")
 
-    known = known_values(learnt.unionByName(second.select("capture_id", "kind", "value", seq(2).alias("seq"))))
-    third = approximate_matches(lines, known).withColumn("confidence", F.lit("high")).withColumn("step", F.lit(3))
+    numbers = first.select("capture_id", "block_id", "kind").unionByName(second.select("capture_id", "block_id", "kind"))
+    named = card_holders(lines, numbers).withColumn("step", F.lit(3)).unionByName(column_names(lines).withColumn("step", F.lit(4)))
+    named = stored(named.withColumn("kind", F.lit("person_name")).withColumn("confidence", F.lit("high")), "ocr-named")
+
+    told = second.unionByName(named).withColumn("seq", seq(2)).select("capture_id", "kind", "value", "seq")
+    third = approximate_matches(lines, known_values(learnt.unionByName(told))).withColumn("confidence", F.lit("high")).withColumn("step", F.lit(5))
     cols = ["step", "start", "end", "kind", "confidence", "value"]
-    every = first.withColumn("line_no", F.col("line_no").cast(lines.schema["line_no"].dataType)).unionByName(second).unionByName(third)
+    every = first.withColumn("line_no", F.col("line_no").cast(lines.schema["line_no"].dataType)).unionByName(second).unionByName(named).unionByName(third)
     per_line = every.groupBy("capture_id", "block_id", "line_no").agg(F.collect_list(F.struct(*cols)).alias("f"))
     kept = per_line.select("capture_id", "block_id", "line_no", F.explode(settle_spans(F.col("f"))).alias("x")).select("capture_id", "block_id", "line_no", "x.*")
-    source = F.when(F.col("step") == 1, "detected").when(F.col("step") == 2, "corrected").otherwise("known value")
+    source = F.when(F.col("step") == 2, "corrected").when(F.col("step") == 5, "known value").otherwise("detected")
     boxed = kept.join(lines.select("capture_id", "block_id", "line_no", "words"), ["capture_id", "block_id", "line_no"]).withColumn("box", box_of(F.col("words"), F.col("start"), F.col("end"))).where("box is not null")
     out = boxed.select("capture_id", "block_id", "line_no", "start", "end", "kind", "confidence", "value", mask(F.col("value")).alias("masked"), source.alias("source"), "box")
     return distinct_boxes(out)
 
 
+def _phrase(words: Column, first: Column, height: Column) -> Column:
+    """struct<first, last, text> of the word at ``first`` (from 0) and up to four capitalised ones close behind it."""
+    after = F.sequence(first + 1, F.least(first + 4, F.size(words) - 1))
+    near = lambda i: F.get(words, i)["text"].rlike(r"^\p{Lu}[\p{L}.'’-]*$") & (F.get(words, i)["x0"] - F.get(words, i - 1)["x1"] < height * 1.6)
+    last = F.when(F.size(words) - 1 > first, F.aggregate(after, first, lambda at, i: F.when((at == i - 1) & near(i), i).otherwise(at))).otherwise(first)
+    return let(last, lambda n: F.struct(first.alias("first"), n.alias("last"), F.array_join(F.transform(F.slice(words, first + 1, n - first + 1), lambda w: w["text"]), " ").alias("text")))
+
+
+def column_names(lines: DataFrame) -> DataFrame:
+    """(capture_id, block_id, line_no, start, end, value): names under a column that is headed
+    as names, until a gap of three rows or three cells that are no names.  A header is one
+    word or two, without a colon, with nothing close behind it."""
+    key = ["capture_id", "block_id"]
+    each = lines.select(*key, "line_no", "words", F.posexplode("words").alias("i", "w"))
+    two = F.concat_ws(" ", F.col("w.text"), F.get("words", F.col("i") + 1)["text"])
+    pair = (F.col("i") + 1 < F.size("words")) & is_name_header(two)
+    last = F.get("words", F.when(pair, F.col("i") + 1).otherwise(F.col("i")))
+    behind = F.get("words", F.when(pair, F.col("i") + 2).otherwise(F.col("i") + 1))
+    tall = F.greatest(F.lit(1), last["y1"] - last["y0"])
+    heads = each.where((pair | is_name_header(F.col("w.text"))) & ~last["text"].endswith(":") & (behind.isNull() | (behind["x0"] - last["x1"] >= tall * 2)))
+    heads = heads.select(*key, F.col("line_no").alias("head"), F.col("i").alias("head_i"), F.col("w.x0").alias("hx"), F.greatest(F.lit(1), F.col("w.y1") - F.col("w.y0")).alias("h"), F.array_max(F.transform("words", lambda w: w["y1"])).alias("hy"), takes_single_word(F.when(pair, two).otherwise(F.col("w.text"))).alias("single"))
+    rows = lines.select(*key, "line_no", "words", F.array_min(F.transform("words", lambda w: w["y0"])).alias("y0"), F.array_max(F.transform("words", lambda w: w["y1"])).alias("y1"))
+    under = heads.join(rows, key).where((F.col("line_no") != F.col("head")) & (F.col("y0") >= F.col("hy") - F.col("h") * 0.3))
+    at = F.array_position(F.transform("words", lambda w: F.abs(w["x0"] - F.col("hx")) <= F.col("h") * 1.3), True).cast("int") - 1
+    cells = under.withColumn("p", F.when(at >= 0, _phrase(F.col("words"), at, F.col("h"))))
+    cells = cells.withColumn("ok", F.coalesce(looks_like_name_cell(F.col("p.text"), F.col("single")), F.lit(False)))
+    cell = F.struct("y0", "line_no", "y1", F.col("p").isNotNull().alias("there"), "ok", "p", "words")
+    lists = cells.groupBy(*key, "head", "head_i", "h", "hy").agg(F.array_sort(F.collect_list(F.struct("y0", "line_no", "y1", F.col("p").isNotNull().alias("there"), "ok"))).alias("c"), F.collect_list(cell).alias("all"))
+    start = F.struct(F.col("hy").cast("double").alias("bottom"), F.lit(0).alias("misses"), F.lit(False).alias("over"), F.array().cast("array<long>").alias("lines"))
+
+    def step(acc: Column, x: Column) -> Column:
+        over = acc["over"] | (x["y0"] - acc["bottom"] > F.col("h") * 3)
+        misses = F.when(x["ok"], F.lit(0)).otherwise(acc["misses"] + 1)
+        went = F.struct(F.greatest(acc["bottom"], x["y1"].cast("double")).alias("bottom"), misses.alias("misses"), (misses >= 3).alias("over"), F.when(x["ok"], F.concat(acc["lines"], F.array(x["line_no"].cast("long")))).otherwise(acc["lines"]).alias("lines"))
+        stop = F.struct(acc["bottom"].alias("bottom"), acc["misses"].alias("misses"), F.lit(True).alias("over"), acc["lines"].alias("lines"))
+        return F.when(over, stop).when(~x["there"], acc).otherwise(went)
+
+    taken = lists.withColumn("lines", F.aggregate("c", start, step, lambda acc: acc["lines"]))
+    found = taken.select(*key, F.explode(F.filter("all", lambda x: F.array_contains(F.col("lines"), x["line_no"].cast("long")))).alias("x")).select(*key, "x.*")
+    before = lambda n: F.aggregate(F.slice("words", 1, n), F.lit(0), lambda a, w: a + F.length(w["text"]) + 1)
+    return found.select(*key, "line_no", before(F.col("p.first")).alias("start"), (before(F.col("p.last") + 1) - 1).alias("end"), F.col("p.text").alias("value"))
+
+
+#: Words of a payment card that are no name; fixed values.
+_CARD_WORDS = "VALID|THRU|THROUGH|BANK|DEBIT|CREDIT|CARD|PLATINUM|GOLD|SILVER|CLASSIC|SIGNATURE|WORLD|BUSINESS|VISA|MASTERCARD|RUPAY|MAESTRO|AMEX|EXPRESS|MEMBER|SINCE|INTERNATIONAL|ELECTRONIC|USE|ONLY"
+
+
+def card_holders(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """(capture_id, block_id, line_no, start, end, value): lines in capitals that may be the
+    holder's name, in blocks in which a card number was found."""
+    cards = found.where("kind = 'payment_card'").select("capture_id", "block_id").distinct()
+    text = strip(F.col("text"))
+    titled = F.array_join(F.transform(F.split(text, spaced(r"\s+")), lambda w: F.concat(F.left(w, F.lit(1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+    shape = text.rlike(r"^\p{Lu}[\p{Lu}.'’ -]{3,40}$") & ~text.rlike(rf"(?<![A-Za-z0-9_])(?:{_CARD_WORDS})(?![A-Za-z0-9_])") & looks_like_name_cell(titled, F.lit(False))
+    at = F.call_function("locate", text, F.col("text")) - 1
+    rows = lines.where(shape).join(cards, ["capture_id", "block_id"], "left_semi")
+    return rows.select("capture_id", "block_id", "line_no", at.alias("start"), (at + F.length(text)).alias("end"), text.alias("value"))
+
+
 def distinct_boxes(found: DataFrame, grid: int = 3) -> DataFrame:
     """Findings of one kind and value whose boxes agree to ``grid`` pixels count once, the first of them."""
     near = [F.round(F.col(f"box.{c}") / grid).cast("long") for c in ("x0", "y0", "x1", "y1")]

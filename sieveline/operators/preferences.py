@@ -34,6 +34,20 @@ PASSED = r"(^|\.)(google\.[a-z.]+|bing\.com|duckduckgo\.com|yahoo\.com|search\.b
 PINNED, KEPT, OFFERED = 1000, 3, 4
 
 
+#: Version of stored preferences; others are taken for empty.
+VERSION = 1
+
+
+def save_preferences(counts: DataFrame, path: str) -> None:
+    """Write a user's counts (or pins) as the new state; readers see the old one until it is whole."""
+    counts.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(path)
+
+
+def load_preferences(spark: SparkSession, path: str) -> DataFrame:
+    """The stored state; rows of another version are left out."""
+    return spark.read.parquet(path).where(F.col("version") == VERSION).drop("version")
+
+
 def bare_host(host: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +131,12 @@ def rule_spans(text: Column, plain: Column, rule: Rule) -> Column:
     return F.transform(found, item)
 
 
+@lru_cache(maxsize=256)
+def _array(rule: Rule, gateway: int) -> Column:
+    """``rule_spans`` of the columns t and p; made once for each JVM, as it takes thousands of calls."""
+    return F.coalesce(rule_spans(F.col("t"), F.col("p"), rule), F.array())
+
+
 def rejected(text: Column, rules: list[Rule] | None = None) -> Column:
     """How many matches of checked rules their checks refuse."""
     plain = normalise_digits(text)
@@ -147,7 +155,7 @@ def scan_text(df: DataFrame, id_col: str, text_col: str, rules: list[Rule] | Non
 
     All rules run in one projection; overlaps are settled within the row, so
     nothing is shuffled.  Null texts have no findings."""
-    arrays = [F.coalesce(rule_spans(F.col("t"), F.col("p"), r), F.array()) for r in rules or RULES]
+    arrays = [_array(r, id(SparkContext._gateway)) for r in rules or RULES]
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).withColumn("p", normalise_digits(F.col("t")))
     found = rows.select("id", F.concat(*arrays).alias("f"))
     # outer, as a filter on the array would move below the projection and compute it twice, digits folded anew for each rule

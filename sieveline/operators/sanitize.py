@@ -50,12 +50,17 @@ def rewrite_fields(nodes: DataFrame, plan: DataFrame, vault: DataFrame, session:
     return rows.select(*keys, F.coalesce("_t", "_s.text").alias("text"), replaced.alias("replaced"), (F.when(kept, F.size("_p")).otherwise(0) - replaced).alias("skipped"), F.col("_how").alias("whole"))
 
 
-def sanitize(nodes: DataFrame, found: DataFrame | None = None, session: str = "capture_id") -> dict[str, DataFrame]:
-    """``nodes`` rewritten, the ``vault``, the ``report`` of each capture.
+def sanitize(nodes: DataFrame, found: DataFrame | None = None, session: str = "capture_id", *, aggressive: bool = False, burn_unverified: bool = True) -> dict[str, DataFrame]:
+    """``nodes`` rewritten, the ``vault``, the ``report`` of each capture, the ``findings``.
+
+    The policy: ``aggressive`` takes bare capitalised words for names; without
+    ``burn_unverified`` frames that nobody can look into are told but not burned.
 
     A session that spans captures is a column of ``nodes``; tokens are numbered in it
     by capture, node, field and place."""
-    found = detect(nodes) if found is None else found
+    found = detect(nodes, aggressive=aggressive) if found is None else found
+    if not burn_unverified:
+        found = found.withColumn("action", F.when(F.col("kind") == "unverified_region", "none").otherwise(F.col("action")))
     if session != "capture_id":
         found = found.join(nodes.select("capture_id", session).distinct(), "capture_id")
     plan = stored(planned(found), "plan")

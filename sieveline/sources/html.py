@@ -1,8 +1,9 @@
 """Raw pages as rows of nodes: wrappers pruned, what carries meaning kept.
 
-There is no layout offline: boxes are absent, ``display:none`` and ``hidden``
-count where they stand in the element.  Open paragraphs and list items end where
-HTML ends them; other unclosed elements end with their parent.
+There is no layout offline: boxes are absent, and styles count where they stand in
+the element.  ``display:none`` and ``hidden`` take a subtree away, ``visibility:hidden``
+an element but not its children.  Open paragraphs and list items end where HTML
+ends them; other unclosed elements end with their parent.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template head meta link".split())
@@ -24,7 +26,12 @@ ROLES = {
     "button": "button", "summary": "button", "select": "select", "textarea": "textbox", "img": "image", "form": "form", "iframe": "frame", "frame": "frame",
     "address": "address", "table": "table", "main": "main", "nav": "navigation", "header": "banner", "footer": "contentinfo",
 } | {f"h{i}": "heading" for i in range(1, 7)}
-KEPT_ATTRIBUTES = ("id", "name", "type", "placeholder", "autocomplete", "title", "alt", "role", "aria-label", "itemprop", "itemtype")
+#: Attributes that are kept as they are; fixed values.
+KEPT_ATTRIBUTES = (
+    "id name type placeholder autocomplete title alt role aria-label aria-modal aria-checked aria-selected aria-pressed aria-expanded aria-disabled aria-readonly aria-required aria-invalid "
+    "itemprop itemtype rel email data-email data-hovercard-id data-name data-user-name data-sender data-testid content"
+).split()
+_CONTROLS = ("input", "textarea", "select")
 _ENDS_P = frozenset("p div ul ol li nav article section header footer main table form address h1 h2 h3 h4 h5 h6 pre blockquote".split())
 SCHEMA = "node_id int, parent_id int, depth int, tag string, role string, label string, text string, value string, attrs map<string,string>"
 
@@ -88,21 +95,42 @@ def _value(tag: str, attrs: dict, texts: list[str]) -> str | None:
     return (_collapse("".join(texts), 600) or None) if tag == "textarea" else None
 
 
+def _host(url: str) -> str:
+    if url.startswith("data:"):
+        return "data:"
+    try:
+        return urlsplit(url).netloc
+    except ValueError:
+        return ""
+
+
 def _kept_attributes(tag: str, attrs: dict) -> dict[str, str]:
+    """What names, describes and tells the state of an element; of addresses the host."""
     out = {k: _collapse(attrs[k], 120) for k in KEPT_ATTRIBUTES if attrs.get(k)}
-    for name, host in (("href", "hrefHost"), ("src", "srcHost")):
-        if attrs.get(name) and tag in ("a", "img", "iframe"):
-            try:
-                found = urlsplit(attrs[name]).netloc
-            except ValueError:
-                found = ""
-            if found:
-                out[host] = found
-    if tag == "input" and attrs.get("type", "").lower() == "password":
+    for name, host, tags in (("href", "hrefHost", ("a",)), ("src", "srcHost", ("img",)), ("src", "frameHost", ("iframe", "frame"))):
+        if tag in tags and attrs.get(name) and _host(attrs[name]):
+            out[host] = _host(attrs[name])
+    kind = attrs.get("type", "").lower()
+    if tag == "input" and kind == "password":
         out["filled"] = str(bool(attrs.get("value"))).lower()
+    if tag == "input" and kind in ("checkbox", "radio"):
+        out["checked"] = str("checked" in attrs).lower()
+    out |= {k: "true" for k in ("disabled", "readonly", "required") if k in attrs and (tag in _CONTROLS or (k == "disabled" and tag == "button"))}
     return out
 
 
+def _all_texts(node: list, but: list | None = None) -> str:
+    """Texts of an element in document order, without those of a control in it."""
+    out, stack = [], [node]
+    while stack:
+        tag, _, texts, children = x = stack.pop()
+        if x is but or tag in ("select", "textarea", "option", "datalist", *SKIPPED):
+            continue
+        out += texts or []
+        stack.extend(reversed(children))
+    return " ".join(out)
+
+
 def page_nodes(html: str | None) -> list[tuple]:
     """Rows of ``SCHEMA`` of one page, ids in document order from 0; none for null.
 
@@ -111,17 +139,25 @@ def page_nodes(html: str | None) -> list[tuple]:
     tree.feed(html or "")
     tree.close()
     labels: dict[str, str] = {}
-    order, stack = [], [tree.root]
+    ids: dict[str, list] = {}
+    wraps: dict[int, list] = {}  # the label around a control
+    order, stack = [], [(tree.root, None)]
     while stack:
-        node = stack.pop()
+        node, around = stack.pop()
         style = node[1].get("style", "").replace(" ", "").lower()
         if node[0] in SKIPPED or "display:none" in style or "hidden" in node[1]:
             node[3], node[2] = [], None
             continue
-        if node[0] == "label" and node[1].get("for"):
-            labels[node[1]["for"]] = _collapse("".join(node[2]), 120)
+        if node[0] == "label":
+            around = node
+            if node[1].get("for"):
+                labels[node[1]["for"]] = _collapse(_all_texts(node), 120)
+        if node[1].get("id"):
+            ids.setdefault(node[1]["id"], node)
+        if node[0] in _CONTROLS and around:
+            wraps[id(node)] = around
         order.append(node)
-        stack.extend(reversed(node[3]))
+        stack.extend((x, around) for x in reversed(node[3]))
     kept: dict[int, list] = {}  # of each node: itself, or the children it leaves to its parent
     for node in reversed(order):
         tag, attrs, texts, _ = node
@@ -129,10 +165,14 @@ def page_nodes(html: str | None) -> list[tuple]:
         role = _role(tag, attrs)
         text, value = _collapse("".join(texts)), _value(tag, attrs, texts)
         matters = tag in KEPT or role in KEPT_ROLES or text or value or "contenteditable" in attrs
-        if tag == "#root" or not (matters or len(children) > 1):
+        unseen = "visibility:hidden" in attrs.get("style", "").replace(" ", "").lower()
+        if tag == "#root" or unseen or not (matters or len(children) > 1):
             kept[id(node)] = children
             continue
-        label = next((x for x in (attrs.get("aria-label"), labels.get(attrs.get("id", "")), attrs.get("placeholder"), attrs.get("alt"), attrs.get("title")) if x), "")
+        by = " ".join(_all_texts(ids[x]) for x in attrs.get("aria-labelledby", "").split() if x in ids)
+        own = [labels.get(attrs.get("id", "")), _all_texts(wraps[id(node)], node) if id(node) in wraps else None, attrs.get("placeholder")] if tag in _CONTROLS else []
+        said = (_collapse(x) for x in (by, attrs.get("aria-label"), *own, attrs.get("alt") if tag == "img" else None, attrs.get("title")) if x)
+        label = next((x for x in said if x), "")
         kept[id(node)] = [(tag, role, _collapse(label, 120), text or None, value, _kept_attributes(tag, attrs), children)]
     rows, walk = [], [(x, None, 0) for x in reversed(kept[id(tree.root)])]
     while walk:
@@ -143,18 +183,18 @@ def page_nodes(html: str | None) -> list[tuple]:
 
 
 def html_nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Nodes of each page with its key; pages without nodes have no rows.  Batches are
-    parsed page by page, so a task holds one page's tree."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    """Nodes of each page with its key; pages without nodes have no rows.  Pages are
+    parsed one by one, an Arrow batch of nodes for a batch of pages."""
     kind = pages.schema[key].dataType.simpleString()
+    out = pages.sparkSession.createDataFrame([], f"`{key}` {kind}, {SCHEMA}").schema
+    schema = to_arrow_schema(out)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, text in zip(batch[key], batch[html]):
-                rows = pd.DataFrame(page_nodes(text), columns=names)
-                rows["parent_id"] = rows["parent_id"].astype("Int32")
-                rows.insert(0, key, k)
-                if len(rows):
-                    yield rows
-
-    return pages.select(F.col(key), F.col(html)).mapInPandas(parse, f"`{key}` {kind}, {SCHEMA}")
+            rows = [page_nodes(x.as_py()) for x in batch.column(1)]
+            flat = [row for page in rows for row in page]
+            keys = batch.column(0).take(pa.array([i for i, page in enumerate(rows) for _ in page], pa.int64()))
+            columns = [[*(list(x.items()) if isinstance(x, dict) else x for x in c)] for c in zip(*flat, strict=True)] if flat else [[] for _ in schema.names[1:]]
+            yield pa.RecordBatch.from_arrays([keys.cast(schema.field(0).type), *[pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns)]], schema=schema)
+
+    return pages.select(F.col(key), F.col(html)).mapInArrow(parse, out)

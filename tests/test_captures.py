@@ -11,10 +11,12 @@ from sieveline.functions.fuzzy import approximate_spans, original_place, repair_
 from sieveline.operators.actions import action_signature, issued_only, wire_export, wire_records, with_results
 from sieveline.operators.capture import detect, detection_stats, ranked, text_nodes
 from sieveline.operators.entities import entity_findings
-from sieveline.operators.ocr import box_of, ocr_findings, ocr_regions
+from sieveline.operators.ocr import box_of, card_holders, column_names, ocr_findings, ocr_regions
 from sieveline.operators.page import all_text, page_profiles, render_pages
-from sieveline.operators.preferences import preference_hints, suggestions
+from sieveline.operators.preferences import load_preferences, preference_hints, save_preferences, suggestions
 from sieveline.operators.sanitize import origin, residual, sanitize, sanitize_texts, titles
+from sieveline.sources.html import page_nodes
+from sieveline.streaming.scan import scan_stream
 
 NODE = "capture_id long, node_id int, tag string, role string, label string, text string, value string, attrs map<string,string>, bbox struct<x:int,y:int,w:int,h:int>"
 NODES = [
@@ -181,6 +183,32 @@ def test_reading_pictures(spark):
     assert nothing[0] is None and ocr_findings(lines.limit(0)).count() == 0
 
 
+def test_columns_and_card_holders(spark):
+    word = lambda t, x, y: (t, x, y, x + 10 * len(t), y + 10)
+    rows = [(0, [word("Customer", 0, 0), word("Due", 300, 0)]), (1, [word("Vikram", 0, 20), word("Seth", 70, 20), word("12", 300, 20)]), (2, [word("Nina", 2, 40), word("Paul", 50, 40)]), (3, [word("total", 0, 60)]), (4, [word("Late", 0, 200), word("Comer", 50, 200)])]
+    lines = spark.createDataFrame([(1, 1, n, " ".join(w[0] for w in ws), ws) for n, ws in rows], "capture_id int, block_id int, line_no int, text string, words array<struct<text:string,x0:int,y0:int,x1:int,y1:int>>")
+    assert {(r.line_no, r.start, r.end, r.value) for r in column_names(lines).collect()} == {(1, 0, 11, "Vikram Seth"), (2, 0, 9, "Nina Paul")}
+    card = spark.createDataFrame([(1, 1, 0, "VALID THRU"), (1, 1, 1, " ASHA RAO"), (1, 2, 0, "NINA PAUL")], "capture_id int, block_id int, line_no int, text string")
+    found = spark.createDataFrame([(1, 1, "payment_card"), (1, 2, "email")], "capture_id int, block_id int, kind string")
+    assert [(r.line_no, r.start, r.end, r.value) for r in card_holders(card, found).collect()] == [(1, 1, 9, "ASHA RAO")]
+
+
+def test_scan_of_a_stream(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "mail a@x.in"), (2, "nothing"), (3, "from 10.0.0.1")], "id int, text string")
+    texts.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = scan_stream(spark.readStream.schema(texts.schema).parquet(str(tmp_path / "in")), "id", "text").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert {(r.id, r.kind) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "email"), (3, "ip_address")}
+
+
+def test_policy_and_preferences(spark, safe, tmp_path):
+    kept = sanitize(safe["before"], safe["findings"], burn_unverified=False)["findings"].where("kind = 'unverified_region'").collect()
+    assert [r.action for r in kept] == ["none"]
+    counts = spark.createDataFrame([(1, "food", "a.in", 2)], "user int, category string, host string, visits int")
+    save_preferences(counts, str(tmp_path / "p"))
+    assert load_preferences(spark, str(tmp_path / "p")).collect() == counts.collect()
+
+
 def test_regions(spark):
     nodes = [(1, i, "img", {}, (0, 0, 50 + i, 50), True) for i in range(4)] + [(1, 9, "canvas", {}, (0, 0, 90, 90), True), (1, 10, "img", {}, (0, 0, 20, 20), True), (1, 11, "img", {}, (0, 0, 99, 99), True)]
     df = spark.createDataFrame(nodes, "capture_id int, node_id int, tag string, attrs map<string,string>, bbox struct<x:int,y:int,w:int,h:int>, visible boolean")
@@ -200,3 +228,10 @@ def test_sql_functions(spark):
     assert "is_aadhaar" in sql.register(spark)
     row = spark.sql("select is_aadhaar('3456 7890 1238') a, mask_value('a@x.in') b, iso_date('23 Sep 2026') c, is_iban('GB82 WEST 1234 5698 7654 32') d, tokens_in('<A_1> x') e").first()
     assert tuple(row) == (True, "a•@x.in", "2026-09-23", True, ["<A_1>"])
+
+
+def test_labels_and_states_of_pages():
+    html = "<label>State <select name=s><option>x</select></label><span id=l>Your <b>name</b></span><input aria-labelledby='l zz'><div style='visibility: hidden'>no<a href=https://x.in/p>yes</a></div><input type=checkbox checked required><iframe src='https://f.in/a?b'></iframe>"
+    rows = {(r[3], r[4]): r for r in page_nodes(html)}
+    assert rows["select", "select"][5] == "State" and rows["input", "textbox"][5] == "Your name" and rows["a", "link"][6] == "yes" and ("div", "div") not in rows
+    assert rows["input", "checkbox"][8] == {"type": "checkbox", "checked": "true", "required": "true"} and rows["iframe", "frame"][8] == {"frameHost": "f.in"}
