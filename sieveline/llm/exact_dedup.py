@@ -101,7 +101,8 @@ def assign(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc
     index = index or _passing_index(spark)
     index.append(batch)
     sizes = batch.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = sizes.join(index.read().select("digest", F.col("id").alias("keep_id")).hint("merge"), "digest")
+    # settled, so that the join below starts from two shuffles, of which adaptive execution splits a hot group's
+    groups = settle(sizes.join(index.read().select("digest", F.col("id").alias("keep_id")).hint("merge"), "digest"), "groups")
     return batch.join(groups.hint("merge"), "digest").select("id", "digest", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
