@@ -111,15 +111,21 @@ def suppress_covered(found: DataFrame) -> DataFrame:
     return joined.where("_sure is null or tier <> 2 or confidence = 'certain'").select(*found.columns)
 
 
-def detect(nodes: DataFrame, *, aggressive: bool = False, classifier: Classifier | None = None) -> DataFrame:
-    """All findings of captures.  Each tier sees what the earlier ones found; what
-    tier 1 covers is dropped only at the end, so it has claimed its span and named
-    its names before."""
+#: Takes nodes and the findings so far, gives further findings (the columns of FINDING).
+Detector = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def detect(nodes: DataFrame, *, aggressive: bool = False, classifier: Classifier | None = None, detectors: list[Detector] | None = None) -> DataFrame:
+    """All findings of captures.  Each tier sees what the earlier ones found, and
+    ``detectors`` of the caller's see them all; what tier 1 covers is dropped only at
+    the end, so it has claimed its span and named its names before."""
     told = field_findings(nodes).select("capture_id", "node_id", "field", "kind", "confidence", "value", "masked", "action")
     prior = stored(_finding(told, 1).unionByName(pattern_findings(nodes)), "prior")
     found = prior.unionByName(name_findings(nodes, prior, aggressive))
     if "bbox" in nodes.columns:
         found = found.unionByName(pixel_findings(nodes, classifier))
+    for more in detectors or []:
+        found = found.unionByName(more(nodes, found).select(*FINDING))
     return suppress_covered(stored(found, "findings"))
 
 
@@ -129,6 +135,11 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy("capture_id", rank[F.col("confidence")], "tier", "node_id", "start")
 
 
+def nodes_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes named by (capture_id, node_id) pairs; ids that are not there name nothing."""
+    return nodes.join(ids.select("capture_id", "node_id").distinct(), ["capture_id", "node_id"], "left_semi")
+
+
 def is_visible(viewport_height: Column) -> Column:
     """Whether a node's box meets the screen, of which it holds the top and height."""
     return (F.col("bbox.y") < viewport_height) & (F.col("bbox.y") + F.col("bbox.h") > 0)

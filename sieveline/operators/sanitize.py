@@ -98,3 +98,10 @@ def sanitize_texts(df: DataFrame, id_col: str, text_col: str) -> dict[str, DataF
     safe = out["nodes"].select(F.col("capture_id").alias(id_col), F.col("text").alias("_safe"))
     texts = df.join(safe, id_col, "left").withColumn(text_col, F.coalesce("_safe", text_col)).drop("_safe")
     return {**out, "texts": texts}
+
+
+def burn_report(burns: DataFrame, key: str) -> DataFrame:
+    """Per key: regions_burned, regions_outside, regions_skipped and pixels_burned of ``burns``
+    (fate, w, h), as ``burn_box`` tells them; pixels under several burns count for each."""
+    of = lambda fate: F.count_if(F.col("fate") == fate)
+    return burns.groupBy(key).agg(of("burned").alias("regions_burned"), of("outside").alias("regions_outside"), of("skipped").alias("regions_skipped"), F.coalesce(F.sum(F.col("w") * F.col("h")), F.lit(0)).alias("pixels_burned"))

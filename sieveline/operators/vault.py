@@ -65,6 +65,11 @@ def mint_tokens(found: DataFrame, session: str, order: list[str]) -> DataFrame:
     return first.select(session, "kind", "value", "fingerprint", F.concat(F.lit("<"), F.col("prefix"), F.lit("_"), number.cast("string"), F.lit(">")).alias("token"))
 
 
+def forget(vault: DataFrame, ended: DataFrame, session: str) -> DataFrame:
+    """The vault without the sessions that have ended: their tokens become unknown."""
+    return vault.join(ended.select(session).distinct(), session, "left_anti")
+
+
 def vault_view(vault: DataFrame) -> DataFrame:
     """The vault without its values; sealed kinds show nothing."""
     return vault.select(*[c for c in vault.columns if c not in ("value", "fingerprint")], preview(F.col("value")).alias("preview"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import burn_box, project, unproject
 from ..functions.checks import verhoeff_check_digit
+from ..functions.text import tokens_in
 from ..operators.actions import fold_events, leak_totals, parse_arguments, recent_history, repeat_guard, scroll_effect, settled_at, wire_records
 from ..operators.align import align_requests
 from ..operators.capture import detect, detection_stats, field_rows, suppress_covered, text_nodes
@@ -14,8 +15,9 @@ from ..operators.entities import name_cells
 from ..operators.ocr import approximate_matches, distinct_boxes, flatten_blocks, in_tree, joined_lines, known_values, segments
 from ..operators.page import consistent, find_text, in_dialog, page_lines, page_profiles, page_shapes, state_words
 from ..operators.preferences import category_scores, preferred_sites
-from ..operators.sanitize import residual, sanitize_texts
+from ..operators.sanitize import burn_report, residual, sanitize_texts
 from ..operators.usage import counted_visits
+from ..operators.vault import rewrite_texts
 from ..sources.html import html_nodes
 from . import session
 
@@ -151,6 +153,18 @@ def burnt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", burn_box(box, view, shot, F.lit(600), F.lit(400)).alias("b"), (back == box).alias("same")).select("l_orderkey", "l_linenumber", "b.*", "same")
 
 
+def burnt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was burned, by order."""
+    return burn_report(burnt_boxes(spark, sf_dir), "l_orderkey")
+
+
+def rewritten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with tokens for addresses, numbered by first appearance, where there are any."""
+    docs, found, vault = session._vault_parts(spark, sf_dir)
+    safe = rewrite_texts(docs, found, vault, ["doc_id"], "doc_id", "text")
+    return safe.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size(tokens_in(F.col("text"))).alias("n_tokens"))
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as lines of blocks of ten, with zeros read as O."""
     s = _table(spark, sf_dir, "supplier")
@@ -266,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dialog_nodes, budgeted_lines, element_states, text_hits, scanned_fields, guarded_actions, event_arguments, folded_events, quiet_pages, sent_records, log_totals, kept_history, kind_scores, usual_sites,
-        aligned_orders, check_digits, burnt_boxes, misread_suppliers, block_texts, lines_in_tree, distinct_reads, flat_lines, column_cells, page_facts, unmoved_pages, safe_documents, detection_counts, uncovered_findings,
+        aligned_orders, check_digits, burnt_boxes, burnt_pages, rewritten_documents, misread_suppliers, block_texts, lines_in_tree, distinct_reads, flat_lines, column_cells, page_facts, unmoved_pages, safe_documents, detection_counts, uncovered_findings,
     )
 }
 
@@ -276,6 +290,12 @@ _DIALOG = """d AS (SELECT a.capture_id, a.node_id AS top, min(CASE WHEN b.node_i
 _STATES = "concat_ws(' ', CASE WHEN k = 'click' THEN CASE WHEN v > 50 THEN 'checked' ELSE 'unchecked' END END, CASE WHEN node_id % 3 = 0 THEN 'required' END)"
 _SITES = """u AS (SELECT user_id, event_type AS category, 'h' || (event_id % 5) AS host, count(*) AS tasks, max(ts) AS last FROM events GROUP BY ALL),
     p AS (SELECT DISTINCT user_id, event_type AS category FROM events WHERE event_id % 40 = 0)"""
+_BURNT = """WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 500 - 100)::DOUBLE AS x, (l_suppkey * 7 % 300 - 50)::DOUBLE AS y, (l_linenumber * 10 - 10)::DOUBLE AS w, l_quantity AS h FROM lineitem),
+        p AS (SELECT *, floor(2 * x) - 3 AS l, floor(2 * (y + 10)) - 3 AS t, ceil(2 * w) + 6 AS pw, ceil(2 * h) + 6 AS ph FROM b),
+        c AS (SELECT *, greatest(0, l) AS x0, greatest(0, t) AS y0, least(600, l + pw) AS x1, least(400, t + ph) AS y1 FROM p),
+        f AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 'skipped' WHEN x1 <= x0 OR y1 <= y0 THEN 'outside' ELSE 'burned' END AS fate FROM c)
+        SELECT l_orderkey, l_linenumber, fate, CASE WHEN fate = 'burned' THEN x0::BIGINT END AS x, CASE WHEN fate = 'burned' THEN y0::BIGINT END AS y, CASE WHEN fate = 'burned' THEN (x1 - x0)::BIGINT END AS w,
+        CASE WHEN fate = 'burned' THEN (y1 - y0)::BIGINT END AS h, true AS same FROM f"""
 ORACLE_SQL = {
     "dialog_nodes": f"WITH {_NODES}, {_DIALOG} SELECT capture_id, node_id, in_dialog FROM i",
     "budgeted_lines": f"""WITH {_NODES}, {_DIALOG},
@@ -308,12 +328,13 @@ ORACLE_SQL = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, category ORDER BY pinned DESC, tasks DESC, last DESC, host) AS INTEGER) AS place FROM a) SELECT user_id, category, place, host, pinned, tasks FROM r WHERE place <= 3""",
     "aligned_orders": "SELECT c_custkey, 'ship to <ORG_' || c_nationkey || '> for <NAME_' || c_custkey || '>, xNATION_1y' AS text FROM customer",
     "check_digits": "SELECT o_orderkey, true AS valid, CAST(1 AS INTEGER) AS fits FROM orders",
-    "burnt_boxes": """WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 500 - 100)::DOUBLE AS x, (l_suppkey * 7 % 300 - 50)::DOUBLE AS y, (l_linenumber * 10 - 10)::DOUBLE AS w, l_quantity AS h FROM lineitem),
-        p AS (SELECT *, floor(2 * x) - 3 AS l, floor(2 * (y + 10)) - 3 AS t, ceil(2 * w) + 6 AS pw, ceil(2 * h) + 6 AS ph FROM b),
-        c AS (SELECT *, greatest(0, l) AS x0, greatest(0, t) AS y0, least(600, l + pw) AS x1, least(400, t + ph) AS y1 FROM p),
-        f AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 'skipped' WHEN x1 <= x0 OR y1 <= y0 THEN 'outside' ELSE 'burned' END AS fate FROM c)
-        SELECT l_orderkey, l_linenumber, fate, CASE WHEN fate = 'burned' THEN x0::BIGINT END AS x, CASE WHEN fate = 'burned' THEN y0::BIGINT END AS y, CASE WHEN fate = 'burned' THEN (x1 - x0)::BIGINT END AS w,
-        CASE WHEN fate = 'burned' THEN (y1 - y0)::BIGINT END AS h, true AS same FROM f""",
+    "burnt_boxes": _BURNT,
+    "burnt_pages": f"""SELECT l_orderkey, count(*) FILTER (fate = 'burned') AS regions_burned, count(*) FILTER (fate = 'outside') AS regions_outside, count(*) FILTER (fate = 'skipped') AS regions_skipped,
+        CAST(coalesce(sum(w * h), 0) AS BIGINT) AS pixels_burned FROM ({_BURNT}) GROUP BY l_orderkey""",
+    # longer values first, so that none is replaced inside another
+    "rewritten_documents": f"""WITH v AS ({session.ORACLE_SQL["vault_tokens"]}),
+        l AS (SELECT doc_id, list({{'value': value, 'token': token}} ORDER BY length(value) DESC) AS pairs, CAST(count(*) AS INTEGER) AS n_tokens FROM v GROUP BY doc_id)
+        SELECT doc_id, sha256(list_reduce(list_prepend({{'value': text, 'token': ''}}, pairs), lambda acc, p: {{'value': replace(acc.value, p.value, p.token), 'token': ''}}).value) AS text_sha256, n_tokens FROM documents JOIN l USING (doc_id)""",
     "misread_suppliers": "SELECT s_suppkey // 10 AS block_id, s_suppkey % 10 AS line_no, CAST(5 AS INTEGER) AS start, CAST(23 AS INTEGER) AS \"end\", 'Supplier#000000001' AS value, 'org_name' AS kind FROM supplier WHERE s_suppkey < 10",
     "block_texts": """WITH l AS (SELECT s_suppkey // 10 AS block_id, s_suppkey % 10 AS line_no, length('from ' || s_name || ' to us') AS n FROM supplier),
         p AS (SELECT *, sum(n + 1) OVER (PARTITION BY block_id ORDER BY line_no) - n - 1 AS pos, sum(n) OVER (PARTITION BY block_id) + count(*) OVER (PARTITION BY block_id) - 1 AS total FROM l)
