@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 from .components import components
-from .kernels import LOWER, chunks, gram_hashes, mix, span_hash, text_buffer, trimmed, word_hashes, words
+from .kernels import LOWER, chunks, gram_hashes, lean, mix, span_hash, text_buffer, trimmed, word_hashes, words
 
 _U = np.uint64
 REGISTERS, ROWS = 96, 4
@@ -236,6 +236,7 @@ def _block_candidates(least: float):
     """Of a block the classes of either side with a plausible partner in another component."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         out = pa.schema([("side", pa.int32()), ("cid", pa.binary()), ("pivot", pa.binary()), ("label", pa.binary()), ("x", pa.int32()), ("y", pa.int32())])
         if not len(left) or not len(right):
             return out.empty_table()
@@ -266,6 +267,7 @@ def _block_candidates(least: float):
 
 def _block_links(percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         a, b = [], []
         if len(left) and len(right):
             items = right.column("items").combine_chunks()
