@@ -22,8 +22,11 @@ from sieveline.llm.toxicity import scores
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; rows with a null id stay, unless rejected."""
-    told = scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return told.where(F.col("predicted") == 0).select(*docs.columns)
+    # names of their own, as any column of docs may be called like one of the result
+    own = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", own["doc_id"])
+    told = scores(docs.toDF(*own.values()), labels, id_col=own["doc_id"], text_col=own["text"], lang_col=own["lang"], carry=list(own.values()))
+    return told.where(F.col("predicted") == 0).select(*[F.col(x).alias(c) for c, x in own.items()])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
