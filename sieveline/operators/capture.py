@@ -17,7 +17,7 @@ from ..functions.text import mask
 from ..store import stored
 from .entities import declared_names, entity_findings, name_cells
 from .fields import field_findings
-from .rules import RANK, RULES, rejected, scan_text
+from .rules import RANK, rejected, scan_text
 from .spans import ascii_borders
 
 _ATTRIBUTES = "alt title placeholder email data-email data-hovercard-id name aria-label data-name data-user-name data-sender".split()
@@ -169,4 +169,4 @@ def detection_stats(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return joined.na.fill(0, ["checksum_rejected", "tier_1", "tier_2", "tier_3", "text_shape", "pixel_shape"])
 
 
-__all__ = ["RULES", "detect", "detection_stats", "field_rows", "field_text", "name_findings", "pattern_findings", "pixel_findings", "ranked", "suppress_covered", "text_nodes"]
+__all__ = ["detect", "detection_stats", "field_rows", "field_text", "name_findings", "pattern_findings", "pixel_findings", "ranked", "suppress_covered", "text_nodes"]

@@ -41,11 +41,10 @@ def flatten_blocks(blocks: Column) -> Column:
 
 def box_of(words: Column, start: Column, end: Column) -> Column:
     """struct<x0, y0, x1, y1> around the words that a span of their line touches."""
-    number = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["w"].alias("w"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate(F.transform(words, lambda w: F.length(w["text"])), begin, lambda acc, n: F.struct((acc["at"] + n + 1).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
     placed = F.zip_with(words, starts, lambda w, s: F.struct(s.alias("start"), (s + F.length(w["text"])).alias("end"), w.alias("w")))
-    hit = F.transform(F.filter(F.transform(placed, number), lambda w: (w["start"] < end) & (w["end"] > start)), lambda w: w["w"])
+    hit = F.transform(F.filter(placed, lambda w: (w["start"] < end) & (w["end"] > start)), lambda w: w["w"])
     side = lambda f, c: f(F.transform(hit, lambda w: w[c])).alias(c)
     return F.when(F.size(hit) > 0, F.struct(side(F.array_min, "x0"), side(F.array_min, "y0"), side(F.array_max, "x1"), side(F.array_max, "y1")))
 
