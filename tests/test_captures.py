@@ -9,6 +9,7 @@ from sieveline import sql
 from sieveline.functions.boxes import burn_box
 from sieveline.functions.fuzzy import approximate_spans, original_place, repair_labels, slack
 from sieveline.operators.actions import action_signature, issued_only, wire_export, wire_records, with_results
+from sieveline.operators.align import align_requests, align_text
 from sieveline.operators.capture import detect, detection_stats, ranked, text_nodes
 from sieveline.operators.entities import entity_findings
 from sieveline.operators.ocr import box_of, card_holders, column_names, ocr_findings, ocr_regions
@@ -235,3 +236,22 @@ def test_labels_and_states_of_pages():
     rows = {(r[3], r[4]): r for r in page_nodes(html)}
     assert rows["select", "select"][5] == "State" and rows["input", "textbox"][5] == "Your name" and rows["a", "link"][6] == "yes" and ("div", "div") not in rows
     assert rows["input", "checkbox"][8] == {"type": "checkbox", "checked": "true", "required": "true"} and rows["iframe", "frame"][8] == {"frameHost": "f.in"}
+
+
+def test_requests_meet_values_by_what_they_hold(spark):
+    """As with all values of the session at hand, but no join pairs a session with all its values."""
+    texts = ["mail Asha Rao today", "ASHA RAO and asha", "ask sharma traders!", "Ashalata", "", None, "flat 12b, 12b street", "12asha rao", "ÉCOLE école", "😀😀 party", "a.b+c", "in\nIndia x", "Иван иванов"]
+    known = [("Sharma Traders Pvt. Ltd.", "<ORG_1>"), ("Asha Rao", "<NAME_1>"), ("Asha", "<NAME_2>"), ("the", "<NAME_3>"), ("12b", "<ID_1>"), ("École", "<ORG_2>"), ("😀😀 party", "<ORG_3>"), ("A.B+C", "<$1>"), ("ИВАН", "<NAME_4>"), ("x", "<X_1>"), ("x 12", "<ID_2>"), (None, "<N_1>"), ("", "<N_2>")]
+    requests = spark.createDataFrame([(s, i, t) for s in (1, 2, 3, None) for i, t in enumerate(texts)], "session int, i int, text string")
+    vault = spark.createDataFrame([(s, v, t) for s in (1, 2, None) for v, t in known if s == 1 or "a" in (v or "")], "session int, value string, token string")
+    df = align_requests(requests, vault, "session", "text")
+    assert df.columns == requests.columns
+    per = vault.where("value is not null").groupBy("session").agg(F.collect_list(F.struct("value", "token")).alias("k"))
+    whole = requests.join(per, "session", "left").select("session", "i", F.when(F.col("k").isNull(), F.col("text")).otherwise(align_text(F.col("text"), F.col("k"))).alias("text"))
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, whole.collect()))
+    got = {(r.session, r.i): r.text for r in df.collect()}
+    assert got[1, 2] == "ask <ORG_1>!" and got[1, 8] == "<ORG_2> <ORG_2>" and got[1, 10] == "<$1>" and got[3, 0] == texts[0]
+    assert align_requests(requests, vault.where("false"), "session", "text").exceptAll(requests).isEmpty()
+    # by session alone a join would pair all requests with all values, and then look into each text
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x or "Join Inner" in x]
+    assert any("_key" in x for x in joins) and not any("Contains" in x for x in joins)
