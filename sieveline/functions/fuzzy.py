@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -103,34 +104,41 @@ def could_misread(read: Column, truth: Column) -> Column:
     # G and b, B and 8: each look-alike is in one group, so a group's number stands for it
     by = lambda t: F.translate(t, "".join(c for c, _ in shape), "".join(n for _, n in shape))
     same = F.zip_with(F.split(read, ""), F.split(truth, ""), lambda r, t: (F.upper(r) == F.upper(t)) | ((by(r) == by(t)) & by(r).rlike("^[0-9]$")))
-    return (F.length(read) == F.length(truth)) & F.forall(same, lambda x: x)
+    # cheap, and true of all that pass: alike when whatever is linked by look-alikes and case is one
+    loose = lambda t: F.translate(F.upper(t), "OQD68BG9ILZ|!EASTY", "000000001121134577")
+    return (F.length(read) == F.length(truth)) & (loose(read) == loose(truth)) & F.forall(same, lambda x: x)
+
+
+def _class(characters: object) -> str:
+    return "[" + "".join(sorted(characters)) + "]"
+
+
+#: Of each slot: the characters that fit it, and what they become in upper case (letter slots) or as they are.
+_DIGITS, _CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ANY = "A-Za-z0-9"
+_FITS = {"D": _class({*_DIGITS, *AS_DIGIT}), "L": f"[A-Za-z{''.join(AS_LETTER)}]", "0": _class({"0", *(c for c, d in AS_DIGIT.items() if d == "0")}), "Z": "[Zz27]", "X": f"[{_ANY}]", "B": f"[{_ANY}]"}
 
 
 def fit_slots(raw: Column, slots: str) -> Column:
     """struct<value, corrections>: ``raw`` with each character as its slot wants it, and
     how many were changed; null where one fits nowhere."""
-    digits, letters = (F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) for m in (AS_DIGIT, AS_LETTER))
-    kinds = F.split(F.lit(slots), "")
-
-    def one(c: Column, i: Column) -> Column:
-        kind, up = F.get(kinds, i), F.upper(c)
-        plain = c.rlike("^[A-Za-z0-9]$")
-        digit = F.when(c.rlike("^[0-9]$"), c).otherwise(F.try_element_at(digits, c))
-        letter = F.when(c.rlike("^[A-Za-z]$"), up).otherwise(F.try_element_at(letters, c))
-        zero = F.when(digit == "0", "0")
-        zed = F.when(c.isin("Z", "z", "2", "7"), "Z")
-        return F.when(kind == "D", digit).when(kind == "L", letter).when(kind == "0", zero).when(kind == "Z", zed).when(plain, up)
-
-    def told(chars: Column) -> Column:
-        doubt = F.create_map(*[F.lit(x) for pair in DOUBTFUL.items() for x in pair])
-        branch = F.transform(chars, lambda c, i: F.when(F.get(kinds, i) == "B", F.when(c.rlike("^[0-9]$"), c).otherwise(F.try_element_at(doubt, c))).otherwise(c))
-        done = F.when(F.forall(branch, lambda c: c.isNotNull()), branch).otherwise(chars)
-        return F.when(
-            F.forall(chars, lambda c: c.isNotNull()),
-            F.struct(F.array_join(done, "").alias("value"), F.size(F.filter(F.zip_with(done, F.split(raw, ""), lambda a, b: a != F.upper(b)), lambda x: x)).alias("corrections")),
-        )
-
-    return F.when(F.length(raw) == len(slots), let(F.transform(F.split(raw, ""), one), told))
+    runs = [(m.group()[0], m.start(), len(m.group())) for m in re.finditer(r"(.)\1*", slots)]
+    up = F.upper(raw)
+
+    def part(kind: str, start: int, n: int) -> Column:
+        read, upper = F.substring(raw, start + 1, n), F.substring(up, start + 1, n)
+        if kind == "D":
+            return F.translate(read, "".join(AS_DIGIT), "".join(AS_DIGIT.values()))
+        if kind == "L":
+            return F.translate(upper, "".join(AS_LETTER), "".join(AS_LETTER.values()))
+        if kind == "B":
+            return F.when(upper.rlike(f"^[0-9{''.join(DOUBTFUL)}]+$"), F.translate(upper, "".join(DOUBTFUL), "".join(DOUBTFUL.values()))).otherwise(upper)
+        return F.lit(kind * n) if kind in "0Z" else upper
+
+    at = lambda t, i: F.substring(t, i + 1, 1)
+    value = F.concat(*[part(*r) for r in runs])
+    told = lambda v: F.struct(v.alias("value"), sum(((at(v, i) != at(up, i)).cast("int") for i in range(len(slots))), F.lit(0)).alias("corrections"))
+    return F.when(raw.rlike("^" + "".join(_FITS[c] for c in slots) + r"\z"), let(value, told))
 
 
 def fit_card(raw: Column) -> Column:
@@ -151,18 +159,20 @@ def corrected_identifiers(text: Column, known: Column) -> Column:
     truths = F.filter(F.transform(F.filter(known, lambda k: k["kind"].isin(IDENTIFIERS)), lambda k: F.struct(F.upper(bare(k["value"])).alias("bare"), k["value"].alias("value"), k["kind"].alias("kind"))), lambda k: F.length(k["bare"]) >= 8)
     from ..operators.spans import settle_spans, spans
 
-    words = spans(text, r"\S+")
+    # whatever is named more than once is computed once, as each name in a lambda computes anew
+    words = F.transform(spans(text, r"\S+"), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), bare(w["value"]).alias("bare"), w["value"].rlike(r"\d,\d").alias("amount")))
 
-    def run(i: Column, n: Column) -> Column:
-        part = F.slice(words, i, n)
-        start, end = F.element_at(part, 1)["start"], F.element_at(part, -1)["end"]
-        return F.struct(i.alias("i"), (-n).alias("n"), start.alias("start"), end.alias("end"), bare(F.array_join(F.transform(part, lambda w: w["value"]), "")).alias("read"), F.exists(part, lambda w: w["value"].rlike(r"\d,\d")).alias("amount"))
+    def run(words: Column, i: Column, n: Column) -> Column:
+        part = lambda p: F.struct(i.alias("i"), (-n).alias("n"), F.element_at(p, 1)["start"].alias("start"), F.element_at(p, -1)["end"].alias("end"), F.array_join(F.transform(p, lambda w: w["bare"]), "").alias("read"), F.exists(p, lambda w: w["amount"]).alias("amount"))
+        return let(F.slice(words, i, n), part)
 
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - i + 1)), lambda n: run(i, n))))
-    runs = F.filter(F.when(F.size(words) > 0, every).otherwise(F.array()), lambda r: F.length(r["read"]).between(10, 19))
+    every = lambda words: F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - i + 1)), lambda n: run(words, i, n))))
+    runs = F.filter(let(words, lambda w: F.when(F.size(w) > 0, every(w)).otherwise(F.array())), lambda r: F.length(r["read"]).between(10, 19))
 
-    def best(r: Column) -> Column:
-        snapped = F.filter(truths, lambda t: could_misread(r["read"], t["bare"]))
+    def best(r: Column, truths: Column) -> Column:
+        return let(F.filter(truths, lambda t: could_misread(r["read"], t["bare"])), lambda snapped: of_run(r, snapped))
+
+    def of_run(r: Column, snapped: Column) -> Column:
         first = F.get(snapped, F.lit(0))
         differ = F.size(F.filter(F.zip_with(F.split(r["read"], ""), F.split(first["bare"], ""), lambda a, b: F.upper(a) != b), lambda x: x))
         item = lambda kind, value, n, proven: F.struct(kind.alias("kind"), value.alias("value"), n.cast("int").alias("corrections"), F.lit(proven).alias("proven"))
@@ -176,8 +186,11 @@ def corrected_identifiers(text: Column, known: Column) -> Column:
         card = let(fit_card(r["read"]), lambda f: F.when(f.isNotNull(), item(F.lit("payment_card"), f["value"], f["corrections"], True)))
         return F.coalesce(snap, F.when(~r["amount"], F.coalesce(template, card)))
 
-    chosen = F.transform(runs, lambda r: let(best(r), lambda b: F.when(b.isNotNull(), F.struct(r["i"].alias("i"), r["n"].alias("n"), r["start"].alias("start"), r["end"].alias("end"), b["kind"].alias("kind"), b["value"].alias("value"), r["read"].alias("read"), b["corrections"].alias("corrections"), b["proven"].alias("proven")))))
-    settled = settle_spans(F.filter(chosen, lambda x: x.isNotNull()))
+    def told(r: Column, b: Column) -> Column:
+        return F.when(b.isNotNull(), F.struct(r["i"].alias("i"), r["n"].alias("n"), r["start"].alias("start"), r["end"].alias("end"), b["kind"].alias("kind"), b["value"].alias("value"), r["read"].alias("read"), b["corrections"].alias("corrections"), b["proven"].alias("proven")))
+
+    chosen = let(truths, lambda known: F.transform(runs, lambda r: let(best(r, known), lambda b: told(r, b))))
+    settled = let(F.filter(chosen, lambda x: x.isNotNull()), lambda found: settle_spans(found))
     return F.transform(settled, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "kind", "value", "read", "corrections", "proven")]))
 
 

@@ -138,7 +138,8 @@ def entity_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corrected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers that were misread, corrected by shape or by a known value."""
     known = F.array(F.struct(F.lit("ABCPE1234F").alias("value"), F.lit("pan").alias("kind")))
-    found = _dealt(spark, sf_dir, READ_TEXTS).select("o_orderkey", F.explode(corrected_identifiers(F.col("text"), known)).alias("x"))
+    # outer, as a filter on the array would compute it twice
+    found = _dealt(spark, sf_dir, READ_TEXTS).select("o_orderkey", F.explode_outer(corrected_identifiers(F.col("text"), known)).alias("x")).where("x is not null")
     return found.select("o_orderkey", "x.kind", "x.value")
 
 
