@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import spaced, strip
+from .text import let, spaced, strip
 
 # The Verhoeff scheme: products in the dihedral group of the pentagon, and the
 # powers of one permutation (fixed value).
@@ -53,13 +53,11 @@ def one_digit_only(digits: Column) -> Column:
 
 
 def is_aadhaar(raw: Column) -> Column:
-    d = compact(raw)
-    return d.rlike(r"^[2-9][0-9]{11}$") & ~one_digit_only(d) & verhoeff(d)
+    return let(compact(raw), lambda d: d.rlike(r"^[2-9][0-9]{11}$") & ~one_digit_only(d) & verhoeff(d))
 
 
 def is_aadhaar_vid(raw: Column) -> Column:
-    d = compact(raw)
-    return d.rlike(r"^[2-9][0-9]{15}$") & ~one_digit_only(d) & verhoeff(d)
+    return let(compact(raw), lambda d: d.rlike(r"^[2-9][0-9]{15}$") & ~one_digit_only(d) & verhoeff(d))
 
 
 #: Issuer number ranges in the order in which they are tried; fixed values.
@@ -94,12 +92,15 @@ def is_pan(raw: Column) -> Column:
 
 
 def is_gstin(raw: Column) -> Column:
-    v = _upper(raw)
     alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    code = lambda i: F.instr(F.lit(alphabet), F.substring(v, i + 1, F.lit(1))) - 1
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(13)), F.lit(0), lambda s, i: s + F.floor(code(i) * (1 + i % 2) / 36).cast("int") + code(i) * (1 + i % 2) % 36)
-    shape = v.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$")
-    return F.when(shape, F.substring(v, 1, 2).cast("int").between(1, 38) & (code(F.lit(14)) == (36 - total % 36) % 36)).otherwise(F.lit(False))
+
+    def valid(v: Column) -> Column:
+        code = lambda i: F.instr(F.lit(alphabet), F.substring(v, i + 1, F.lit(1))) - 1
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(13)), F.lit(0), lambda s, i: s + F.floor(code(i) * (1 + i % 2) / 36).cast("int") + code(i) * (1 + i % 2) % 36)
+        shape = v.rlike(r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]Z[0-9A-Z]$")
+        return F.when(shape, F.substring(v, 1, 2).cast("int").between(1, 38) & (code(F.lit(14)) == (36 - total % 36) % 36)).otherwise(F.lit(False))
+
+    return let(_upper(raw), valid)
 
 
 #: Bank codes of issued IFSCs; fixed values.

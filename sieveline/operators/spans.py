@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import spaced
+from ..functions.text import let, spaced
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 _W = "[A-Za-z0-9_]"
@@ -37,15 +37,17 @@ def group_spans(text: Column, before: str, group: str, after: str) -> Column:
 
 
 def _between_marks(marked: Column) -> Column:
-    parts = F.split(marked, "\x01")
-    start = F.struct(F.length(parts[0]).alias("at"), F.array().cast(SPAN).alias("out"))
-
     def step(acc: Column, part: Column) -> Column:
         value = F.substring_index(part, "\x02", 1)
         one = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
         return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
+    def told(parts: Column) -> Column:
+        start = F.struct(F.length(parts[0]).alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["out"])
+
+    # split once, as each name of the parts would mark the text anew
+    return let(F.split(marked, "\x01"), told)
 
 
 def settle_spans(found: Column, claimed: Column | None = None) -> Column:
