@@ -18,19 +18,24 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(pairs.groupBy("a").agg(F.min("b").alias("m")), "a")
 
 
+def _two(pairs: DataFrame, *sides: tuple[str, str]) -> DataFrame:
+    """(a, b): two pairs of each row.  A union would compute the rows twice, stages and all."""
+    return pairs.select(F.inline(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in sides])))
+
+
+def _settled(pairs: DataFrame) -> bool:
+    """Whether no node has two partners below it, or one below and one above, as a
+    step would change nothing more."""
+    ends = pairs.select(F.inline(F.array(*[F.struct(F.col(x).alias("node"), F.lit(up).alias("up")) for x, up in (("a", 1), ("b", 0))])))
+    return ends.groupBy("node").agg(F.sum("up").alias("n"), F.min("up").alias("least")).where("n > 1 or n = 1 and least = 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b): label is the least node reachable."""
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
-        small = _star(large)
-        step = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
+    while not _settled(now):
+        large = _star(_two(now, ("a", "b"), ("b", "a"))).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        step = _two(_star(large), ("a", "m"), ("b", "m")).where("a <> b").distinct()
         done, now = now, settle(step, "edges")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_settled(done)
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

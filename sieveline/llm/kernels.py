@@ -62,18 +62,23 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def trimmed(run):
     """``run`` for mapInArrow, after whose end a worker gives back what it freed:
     an idle worker keeps nothing of its last task while others need the memory."""
 
     def call(batches):
-        import ctypes
-
         lean()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return call
 

@@ -185,7 +185,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     labels = settle(components(links), "labels")
     more = _second_round(members, labels, classes, texts, shingle, percent)
     if more is not None:
-        labels = settle(components(links.unionByName(more)), "labels")
+        found = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = settle(components(found.unionByName(more)), "labels")
 
     of_class = classes.join(labels, classes.cid == labels.node, "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = of_class.groupBy("label").agg(F.min("rep").alias("component"))
