@@ -1,4 +1,4 @@
-"""Training-data operators: ten text/vector jobs written for a cluster.
+"""Training-data operators: text and vector jobs written for a cluster.
 
 Nothing else in the library imports this subpackage.
 """

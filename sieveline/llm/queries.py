@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language_id import op4_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL = {
