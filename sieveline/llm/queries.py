@@ -13,6 +13,7 @@ from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .topk import OP8_SQL, op8_topk
 from .toxicity import op5_toxicity
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
     "op13_alignment": op13_alignment,
 }
 
