@@ -9,6 +9,7 @@ from .language_id import op4_language_id
 from .licenses import OP3_SQL, op3_licenses
 from .minhash import OP6_SQL, op6_minhash
 from .packing import op10_packing
+from .secrets import OP12_SQL, op12_secrets
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .topk import OP8_SQL, op8_topk
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
     "op11_whitening": op11_whitening,
+    "op12_secrets": op12_secrets,
     "op13_alignment": op13_alignment,
 }
 
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op6_minhash": OP6_SQL,
     "op8_topk": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op12_secrets": OP12_SQL,
 }
