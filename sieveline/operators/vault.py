@@ -115,19 +115,24 @@ def restore_texts(df: DataFrame, vault: DataFrame, session: str, text_col: str)
     """``df`` with known tokens replaced by their values, in one pass so that values
     that look like tokens stay, and ``sealed`` and ``unknown``: the tokens left.
 
-    The tokens of the texts meet the vault in a join by session and token, so a
-    row carries the values it needs and never the whole vault of its session."""
-    row = F.monotonically_increasing_id()
-    parts = F.split(F.regexp_replace(F.translate(F.col(text_col), "\x01", " "), f"({TOKEN})", "\x01$1\x01"), "\x01")
-    keyed = df.withColumn("_row", row).withColumn("_parts", parts)
-    asked = keyed.select("_row", session, F.explode(tokens_in(F.col(text_col))).alias("token"))
-    told = asked.join(vault.select(session, "token", "value", F.lit(True).alias("known")), [session, "token"], "left")
-    per_row = told.groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("token", "value")))).alias("_values"),
-        F.array_sort(F.collect_list(F.when(F.col("known") & F.col("value").isNull(), F.col("token")))).alias("sealed"),
-        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("token")))).alias("unknown"),
+    What a text becomes depends on its session and its characters alone.  So the tokens
+    of each distinct text meet the vault in a join by session and token, and what they
+    say comes back to the rows by session and digest of the text: rows get no number,
+    which a second computation could give to others."""
+    text = F.col(text_col)
+    asked = df.select(F.col(session).alias("_of"), F.sha2(text, 256).alias("_digest"), F.explode(tokens_in(text)).alias("_token")).distinct()
+    known = vault.select(F.col(session).alias("_s"), F.col("token").alias("_t"), F.col("value").alias("_value"), F.lit(True).alias("_known"))
+    told = asked.join(known, (F.col("_of") == F.col("_s")) & (F.col("_token") == F.col("_t")), "left")
+    per_text = told.groupBy("_of", "_digest").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_value").isNotNull(), F.struct("_token", "_value")))).alias("_values"),
+        F.array_sort(F.collect_list(F.when(F.col("_known") & F.col("_value").isNull(), F.col("_token")))).alias("_sealed"),
+        F.array_sort(F.collect_list(F.when(F.col("_known").isNull(), F.col("_token")))).alias("_unknown"),
     )
-    joined = keyed.join(per_row, "_row", "left")
-    text = F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_parts", lambda x: F.coalesce(F.try_element_at(F.col("_values"), x), x)), ""))
-    no = F.when(F.col(text_col).isNotNull(), F.array().cast("array<string>"))
-    return joined.withColumn("sealed", F.coalesce("sealed", no)).withColumn("unknown", F.coalesce("unknown", no)).withColumn(text_col, text).drop("_row", "_parts", "_values")
+    joined = df.withColumn("_own", F.sha2(text, 256)).join(per_text, F.col(session).eqNullSafe(F.col("_of")) & (F.col("_own") == F.col("_digest")), "left")
+    # what stands between tokens, and the tokens; the former are one more
+    gaps, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    put = lambda gap, token: F.concat(gap, F.coalesce(F.try_element_at(F.col("_values"), token), token, F.lit("")))
+    restored = F.when(F.col("_values").isNull(), text).otherwise(F.array_join(F.zip_with(gaps, tokens, put), ""))
+    no = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    out = joined.withColumn("sealed", F.coalesce("_sealed", no)).withColumn("unknown", F.coalesce("_unknown", no)).withColumn(text_col, restored)
+    return out.drop("_of", "_digest", "_own", "_values", "_sealed", "_unknown")

@@ -31,11 +31,13 @@ def vault_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts rewritten with tokens and restored; each comes back whole."""
+    """Texts rewritten with tokens, joined to their labels and restored behind that join;
+    each comes back whole and beside its own labels."""
     docs, found, vault = _vault_parts(spark, sf_dir)
     safe = rewrite_texts(docs, found, vault, ["doc_id"], "doc_id", "text")
-    back = restore_texts(safe, vault, "doc_id", "text")
-    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.size("unknown").alias("n_unknown"))
+    told = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    back = restore_texts(safe.join(told, "doc_id", "left"), vault, "doc_id", "text")
+    return back.select("doc_id", "quality", F.sha2("text", 256).alias("text_sha256"), F.size("unknown").alias("n_unknown"))
 
 
 def labelled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,8 @@ ORACLE_SQL = {
     "vault_tokens": f"""WITH e AS (SELECT doc_id, 'email' AS kind, 'EMAIL' AS p, unnest(list_distinct(l)) AS value, l FROM (SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS l FROM documents)
             UNION ALL SELECT doc_id, 'ip_address', 'IP', unnest(list_distinct(l)), l FROM (SELECT doc_id, regexp_extract_all(text, '{_IP}') AS l FROM documents))
         SELECT doc_id, kind, value, '<' || p || '_' || row_number() OVER (PARTITION BY doc_id, p ORDER BY list_position(l, value)) || '>' AS token FROM e""",
-    "vault_round_trip": "SELECT doc_id, sha256(text) AS text_sha256, CAST(0 AS INTEGER) AS n_unknown FROM documents",
+    "vault_round_trip": """SELECT doc_id, quality, sha256(text) AS text_sha256, CAST(0 AS INTEGER) AS n_unknown
+        FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)""",
     "labelled_values": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderdate FROM orders)
         SELECT o_orderkey, 'otp' AS kind, lpad(k, 6, '0') AS value FROM o UNION ALL SELECT o_orderkey, 'identity_field', 'C' || lpad(k, 7, '0') FROM o
         UNION ALL SELECT o_orderkey, 'payment_field', '0' || (o_orderkey % 9 + 1) || '/29' FROM o UNION ALL SELECT o_orderkey, 'secret', 'Ab@' || lpad(k, 6, 'x') FROM o
