@@ -34,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from .common import partitions, settle, table
 from .kernels import chunks, ragged, text_buffer, trimmed, word_hashes
 
 #: Text bytes of a block and of a chunk of documents; units encoded by one call.
-BLOCK, CHUNK, BATCH = 8 << 20, 1 << 18, 4_000
+BLOCK, CHUNK, BATCH = 24 << 20, 1 << 20, 8_000
 ROWS = "block long, kind int, seq long, pairs array<long>, counts array<long>, data binary"
 #: What may follow a space that starts a unit: the byte starts no white space of any kind.
 _STARTS = np.ones(256, bool)
@@ -144,7 +145,7 @@ def align_units(sides: Sides, units: list[str]) -> dict[str, np.ndarray]:
     with a semicolon behind it), links (how many); and flat: text, pairs (a << 32 | b)."""
     a_ids, b_ids = sides.encode(units)
     n_a, n_b = (np.fromiter(map(len, x), np.int64, len(units)) for x in (a_ids, b_ids))
-    flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a_ids, b_ids))
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a_ids, n_a), (b_ids, n_b)))
     raw = [b" " + u.encode() for u in units]
     size = np.fromiter(map(len, raw), np.int64, len(units))
     unit_a, unit_b = (np.repeat(np.arange(len(units)), n) for n in (n_a, n_b))
