@@ -39,6 +39,11 @@ def slack(length: int) -> int:
     return 0 if length < 8 else min(2, length // 8)
 
 
+def slack_of(length: Column) -> Column:
+    """The same of a column."""
+    return F.when(length < 8, 0).otherwise(F.least(F.lit(2), F.floor(length / 8).cast("int")))
+
+
 def _folded(text: str) -> tuple[str, list[int]]:
     """The folded form and where each of its characters stands."""
     kept = [(FOLDED.get(c.lower(), c.lower()), i) for i, c in enumerate(text)]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import approximate_spans, corrected_identifiers, fold_read, mrz_names, original_place, repair_case, repair_labels
+from ..functions.fuzzy import approximate_spans, corrected_identifiers, fold_read, mrz_names, original_place, repair_case, repair_labels, slack_of
 from ..functions.names import NEVER_ALIGNED, among, is_name_header, looks_like_name_cell, takes_single_word
 from ..functions.text import fold, let, mask, spaced, strip
 from ..store import stored
@@ -84,15 +84,48 @@ def known_values(found: DataFrame) -> DataFrame:
     return rows.groupBy("capture_id", "key").agg(F.min_by(F.struct("value", "kind"), "seq").alias("x")).select("capture_id", "x.*")
 
 
+#: Characters of a gram of folded text.
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (GRAM - 1))), lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
+def approximate_candidates(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(capture_id, block_id, line_no, text, value, kind): the lines that may hold a value
+    of their capture within its slack, by an inverted index of folded grams.
+
+    An edit spoils at most GRAM of a value's grams, so a line that holds it within e
+    edits shares all but GRAM * e of its distinct grams, and therefore one of any
+    GRAM * e + 1 of them.  The rarest ones are taken, by how many lines of the capture
+    hold them; they meet the lines' grams in a join by capture and gram, so a gram that
+    many lines hold pairs none with a value that has rarer ones.  Of what meets there
+    stay the pairs that share as many grams as they must: at least one, as one of e + 1
+    pieces of the value is whole."""
+    left = lines.select("capture_id", "block_id", "line_no", "text", _grams(fold_read(F.col("text"))).alias("_g"))
+    folded = fold_read(F.col("value"))
+    right = known.select("capture_id", "value", "kind", _grams(folded).alias("_h"), slack_of(F.length(folded)).alias("_e"), F.length(folded).alias("_n")).where("_n >= 4").drop("_n").distinct()
+    postings = left.select("capture_id", F.explode("_g").alias("_gram"))
+    sizes = postings.groupBy(F.col("capture_id").alias("_c"), F.col("_gram").alias("_f")).agg(F.count(F.lit(1)).alias("_lines"))
+    asked = right.withColumn("_gram", F.explode("_h"))
+    counted = asked.join(sizes, F.col("capture_id").eqNullSafe(F.col("_c")) & (F.col("_gram") == F.col("_f")), "left").drop("_c", "_f")
+    # a gram of no line is the rarest
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("_lines", F.lit(0)).alias("n"), F.col("_gram").alias("g"))))
+    rare = counted.groupBy("capture_id", "value", "kind", "_h", "_e").agg(order.alias("_o")).select("capture_id", "value", "kind", "_h", "_e", F.explode(F.slice("_o", F.lit(1), GRAM * F.col("_e") + 1)).alias("_x"))
+    index = left.select("*", F.explode("_g").alias("_gram"))
+    key = rare.select(F.col("capture_id").alias("_c"), F.col("_x.g").alias("_f"), "value", "kind", "_h", "_e").where("_x.n > 0")
+    met = index.join(key, F.col("capture_id").eqNullSafe(F.col("_c")) & (F.col("_gram") == F.col("_f")))
+    shared = F.size(F.array_intersect("_g", "_h"))
+    enough = met.where(shared >= F.greatest(F.lit(1), F.size("_h") - GRAM * F.col("_e")))
+    return enough.select("capture_id", "block_id", "line_no", "text", "value", "kind").distinct()
+
+
 def approximate_matches(lines: DataFrame, known: DataFrame) -> DataFrame:
     """(capture_id, block_id, line_no, start, end, value, kind): known values of a capture
-    in its lines, within their slack.  A line meets only values of which it shares three
-    folded characters in a row (a value within its slack of two edits keeps such a
-    piece); Arrow batches verify."""
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3))))
-    left = lines.select("capture_id", "block_id", "line_no", "text", grams(fold_read(F.col("text"))).alias("_g"))
-    right = known.select("capture_id", "value", "kind", grams(fold_read(F.col("value"))).alias("_h"), F.length(fold_read(F.col("value"))).alias("_n")).where("_n >= 4")
-    near = left.join(right, "capture_id").where(F.arrays_overlap("_g", "_h")).drop("_g", "_h", "_n")
+    in its lines, within their slack.  Lines meet values through an index of grams
+    (``approximate_candidates``); Arrow batches verify."""
+    near = approximate_candidates(lines, known)
     kinds = {f.name: f.dataType.simpleString() for f in near.schema.fields}
     schema = f"capture_id {kinds['capture_id']}, block_id {kinds['block_id']}, line_no {kinds['line_no']}, start int, end int, value string, kind string"
 

@@ -173,11 +173,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def misread_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier names, known from elsewhere, in lines with misread digits."""
-    lines = _lines(spark, sf_dir).where("block_id = 0")
-    known = known_values(_lines(spark, sf_dir).where("block_id = 0 and line_no < 3").select("capture_id", F.col("s_name").alias("value"), F.lit("org_name").alias("kind"), F.col("line_no").alias("seq")))
-    found = approximate_matches(lines, known.where("value = 'Supplier#000000001'"))
-    return found.select("block_id", "line_no", "start", "end", "value", "kind")
+    """All suppliers' names, known from elsewhere, in the lines of all suppliers with misread
+    digits.  A line ends with its name, as a word behind it could stand for digits."""
+    lines = _lines(spark, sf_dir).withColumn("text", F.concat(F.lit("from "), F.translate("s_name", "0", "O")))
+    known = known_values(lines.select("capture_id", F.col("s_name").alias("value"), F.lit("org_name").alias("kind"), (F.col("block_id") * 10 + F.col("line_no")).alias("seq")))
+    return approximate_matches(lines, known).select("block_id", "line_no", "start", "end", "value", "kind")
 
 
 def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +335,8 @@ ORACLE_SQL = {
     "rewritten_documents": f"""WITH v AS ({session.ORACLE_SQL["vault_tokens"]}),
         l AS (SELECT doc_id, list({{'value': value, 'token': token}} ORDER BY length(value) DESC) AS pairs, CAST(count(*) AS INTEGER) AS n_tokens FROM v GROUP BY doc_id)
         SELECT doc_id, sha256(list_reduce(list_prepend({{'value': text, 'token': ''}}, pairs), lambda acc, p: {{'value': replace(acc.value, p.value, p.token), 'token': ''}}).value) AS text_sha256, n_tokens FROM documents JOIN l USING (doc_id)""",
-    "misread_suppliers": "SELECT s_suppkey // 10 AS block_id, s_suppkey % 10 AS line_no, CAST(5 AS INTEGER) AS start, CAST(23 AS INTEGER) AS \"end\", 'Supplier#000000001' AS value, 'org_name' AS kind FROM supplier WHERE s_suppkey < 10",
+    "misread_suppliers": """SELECT a.s_suppkey // 10 AS block_id, a.s_suppkey % 10 AS line_no, CAST(5 AS INTEGER) AS start, CAST(23 AS INTEGER) AS "end", b.s_name AS value, 'org_name' AS kind
+        FROM supplier a JOIN supplier b ON levenshtein(a.s_name, b.s_name) <= 2""",
     "block_texts": """WITH l AS (SELECT s_suppkey // 10 AS block_id, s_suppkey % 10 AS line_no, length('from ' || s_name || ' to us') AS n FROM supplier),
         p AS (SELECT *, sum(n + 1) OVER (PARTITION BY block_id ORDER BY line_no) - n - 1 AS pos, sum(n) OVER (PARTITION BY block_id) + count(*) OVER (PARTITION BY block_id) - 1 AS total FROM l)
         SELECT block_id, CAST(total AS INTEGER) AS n, line_no, CAST(greatest(3, pos) - pos AS INTEGER) AS start, CAST(least(40, pos + n) - pos AS INTEGER) AS "end" FROM p WHERE pos < 40 AND pos + n > 3""",

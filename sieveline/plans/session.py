@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fit import iso_date, iso_time, plain_number
 from ..functions.text import SEARCH, collapse, fold, normalise_url
+from ..operators.asof import as_of, generations, valid_actions
 from ..operators.rules import RULES, scan_text
 from ..operators.usage import counted_visits, keep_newest_page, preferred, scroll_budget
 from ..operators.vault import mint_tokens, restore_texts, rewrite_texts
+from ..operators.vault_store import VaultTable
 from ..sources.html import html_nodes
+from ..store import shared_folder, stored
 
 BY_NUMBER = {r.number: r for r in RULES}
 
@@ -40,6 +45,34 @@ def vault_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "quality", F.sha2("text", 256).alias("text_sha256"), F.size("unknown").alias("n_unknown"))
 
 
+def minted_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of short documents, then those of the others, minted into one vault whose
+    sessions are languages; then both batches once more.  Tokens of the vault, with what
+    the replay gave."""
+    docs = _table(spark, sf_dir, "documents")
+    found = stored(scan_text(docs.select("doc_id", "text"), "doc_id", "text", [BY_NUMBER[9], BY_NUMBER[29]]).join(docs.select("doc_id", "lang", "n_chars"), "doc_id"), "found")
+    batches = [found.where("n_chars < 1500"), found.where("n_chars is null or n_chars >= 1500")]
+    vault = VaultTable(spark, f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}")
+    first = [vault.mint(b, "lang", ["doc_id", "start"]) for b in batches]
+    again = [vault.tokens_for(b, "lang", ["doc_id", "start"]) for b in batches]
+    one = first[0].unionByName(first[1]).distinct()
+    two = again[0].unionByName(again[1]).distinct().withColumnRenamed("token", "replayed")
+    return one.join(two, one["session"].eqNullSafe(two["session"]) & (one["kind"] == two["kind"]) & (one["value"] == two["value"])).select(one["session"], one["kind"], one["value"], "token", "replayed")
+
+
+def judged_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks on elements that a user's page showed: views read the page anew, and a click names
+    the generation that was live 20 hours before, as one made from an old reading would; every
+    generation shows seven elements."""
+    events = _table(spark, sf_dir, "events")
+    reads = generations(events.where("event_type = 'view'"), "user_id", "ts")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts", (F.col("event_id") % 9).alias("element"), (F.col("ts") - F.expr("interval 20 hours")).alias("read_at"))
+    old = as_of(clicks, reads.select("user_id", F.col("ts").alias("at"), "generation"), ["user_id"], "read_at", "at", ["generation"])
+    issued = reads.select("user_id", "generation", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("element"))
+    told = valid_actions(old, reads, issued, "user_id", "ts", "generation", "element")
+    return told.select("event_id", "generation", "live_generation", "verdict")
+
+
 def labelled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that report a value after its label, over texts made from orders."""
     key = F.col("o_orderkey").cast("string")
@@ -109,7 +142,7 @@ _EMAIL, _IP = (BY_NUMBER[i].pattern for i in (9, 29))
 QUERIES = {
     f.__name__: f
     for f in (
-        vault_tokens, vault_round_trip, labelled_values, page_headings, page_links, visit_counts, preferred_events, scroll_counts, newest_page, field_values,
+        vault_tokens, vault_round_trip, minted_batches, judged_clicks, labelled_values, page_headings, page_links, visit_counts, preferred_events, scroll_counts, newest_page, field_values,
         search_urls, folded_texts, findings_summary,
     )
 }
@@ -120,6 +153,15 @@ ORACLE_SQL = {
         SELECT doc_id, kind, value, '<' || p || '_' || row_number() OVER (PARTITION BY doc_id, p ORDER BY list_position(l, value)) || '>' AS token FROM e""",
     "vault_round_trip": """SELECT doc_id, quality, sha256(text) AS text_sha256, CAST(0 AS INTEGER) AS n_unknown
         FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)""",
+    "minted_batches": f"""WITH e AS (SELECT *, list_position(l, value) AS place FROM (SELECT doc_id, lang, n_chars, 'email' AS kind, 'EMAIL' AS p, unnest(list_distinct(l)) AS value, l FROM (SELECT *, regexp_extract_all(text, '{_EMAIL}') AS l FROM documents)
+            UNION ALL SELECT doc_id, lang, n_chars, 'ip_address', 'IP', unnest(list_distinct(l)), l FROM (SELECT *, regexp_extract_all(text, '{_IP}') AS l FROM documents))),
+        v AS (SELECT lang, kind, p, value, min(row(CASE WHEN n_chars < 1500 THEN 1 ELSE 2 END, doc_id, place)) AS first FROM e GROUP BY ALL),
+        t AS (SELECT *, '<' || p || '_' || row_number() OVER (PARTITION BY lang, p ORDER BY first) || '>' AS token FROM v)
+        SELECT lang AS session, kind, value, token, token AS replayed FROM t""",
+    "judged_clicks": """WITH g AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view')),
+        c AS (SELECT event_id, event_id % 9 AS element, (SELECT max(n) FROM g WHERE g.user_id = e.user_id AND g.ts <= e.ts - INTERVAL 20 HOUR) AS generation,
+            (SELECT max(n) FROM g WHERE g.user_id = e.user_id AND g.ts <= e.ts) AS live_generation FROM events e WHERE event_type = 'click')
+        SELECT event_id, generation, live_generation, CASE WHEN generation IS NOT NULL AND generation IS DISTINCT FROM live_generation THEN 'stale' WHEN live_generation IS NOT NULL AND element <= 6 THEN 'ok' ELSE 'unknown' END AS verdict FROM c""",
     "labelled_values": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderdate FROM orders)
         SELECT o_orderkey, 'otp' AS kind, lpad(k, 6, '0') AS value FROM o UNION ALL SELECT o_orderkey, 'identity_field', 'C' || lpad(k, 7, '0') FROM o
         UNION ALL SELECT o_orderkey, 'payment_field', '0' || (o_orderkey % 9 + 1) || '/29' FROM o UNION ALL SELECT o_orderkey, 'secret', 'Ab@' || lpad(k, 6, 'x') FROM o
