@@ -64,7 +64,8 @@ RULES = (
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$&*-]+@"),
+    # no scheme is longer; without a bound, a long run of letters would be tried from each of its places
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$&*-]+@"),
 )
 
 
@@ -231,7 +232,7 @@ def _sql() -> str:
         "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
         "github": r"gh[oprsu]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}", "google": r"AIza[A-Za-z0-9_-]{35}", "stripe": r"[rs]k_live_[A-Za-z0-9]{16,}",
         "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-        "url_login": r"[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$&*-]+@",
+        "url_login": r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!$&*-]+@",
     }
     group, least = {"assign": 2}, {"assign": 12, "access": 18, "hex": 16}
     parts = [
