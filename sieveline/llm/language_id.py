@@ -8,10 +8,13 @@ length neither underflow nor are cut); a text's is the product over its words
 (runs of letters, lower case).  The score is the posterior of the best language
 under equal priors.
 
-The fit reads a bounded sample: ``per_language`` labelled documents of each of
-the LANGUAGES commonest languages, those with the smallest hashes of their ids,
-none of them held out; it sends the driver counts of their distinct words.
-Scoring reads every text whole and computes each distinct word of a task once.
+The fit reads a bounded sample: ``per_language`` labelled documents of each
+language, those with the smallest hashes of their ids, none of them held out; it
+sends the driver counts of their distinct words, of which runs of more than
+WINDOW letters are cut for the fit alone.  Every labelled language is learnt; a
+table with more than LANGUAGES of them is refused.  Scoring reads every text
+whole and computes each distinct word of a task once.  A run of more than WINDOW
+letters is summed window by window, with the last positions alone in memory.
 
 Defined edge cases: a letter is a character of Unicode category L (``\u00bd`` and
 ``\u2167`` are none); a text that is null or has no letter is ``und`` with score 0;
@@ -33,8 +36,10 @@ from .kernels import chunks, segment_sums, text_buffer, words
 from .wordcache import WordCache
 
 PER_LANGUAGE = 400
-#: Languages that are learnt at most, the commonest ones.
-LANGUAGES = 512
+#: Languages of a table at most: the model has a number for each piece and language.
+LANGUAGES = 2048
+#: Letters of a run that are held at once.
+WINDOW = 1 << 14
 #: Probability of a character that is no piece.
 FLOOR = 1e-7
 ROUNDS = 3
@@ -89,6 +94,15 @@ class Lattice:
         out[maybe] = np.where(self.hashes[at] == wanted, self.ids[at], -1)
         return out
 
+    def edges(self, text: str) -> np.ndarray:
+        """Of one text: at [l - 1, i] the piece id (-1: none) of length l at position i."""
+        n = len(text)
+        codes, out, h = _codes([text]) + _U(1), np.full((self.longest, n), -1, np.int32), np.zeros(n, _U)
+        for size in range(1, min(self.longest, n) + 1):
+            h = (h[: n - size + 1] * _BASE) ^ codes[size - 1 :]
+            out[size - 1, : len(h)] = self._find(h)
+        return out
+
     def groups(self, texts: list[str]):
         """Yield (indices of words of one length, edges); edges[l - 1][:, i] are the
         piece ids (-1: none) of length l at position i."""
@@ -142,6 +156,29 @@ def log_probability(p: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.log(value[-1]) + scale[-1]
 
 
+def windowed_probability(p: np.ndarray, lattice: Lattice, text: str) -> np.ndarray:
+    """The same of one word of any length.  Only as many positions are held as the longest
+    piece has letters: value[d] belongs to the position d letters ahead."""
+    n, reach = len(text), lattice.longest
+    value, scale = np.zeros((reach + 1, p.shape[1])), np.zeros(p.shape[1])
+    value[0] = 1
+    for at in range(0, n, WINDOW):
+        edges = lattice.edges(text[at : at + WINDOW + reach - 1])
+        for i in range(min(WINDOW, n - at)):
+            if i % STEP == 0:
+                most = value.max(axis=0)
+                value /= most
+                scale += np.log(most)
+            ids = edges[:, i]
+            sizes = np.flatnonzero(ids >= 0)
+            if ids[0] < 0:
+                value[1] += value[0] * FLOOR
+            value[sizes + 1] += value[0] * p[ids[sizes]]
+            value[:-1] = value[1:]
+            value[-1] = 0
+    return np.log(value[0]) + scale
+
+
 def _expected(p: np.ndarray, edges: list[np.ndarray], weight: np.ndarray, out: np.ndarray) -> None:
     """Add the expected piece counts of words with ``weight`` (words, languages)."""
     (alpha, a), (beta, b) = forward(p, edges), forward(p, edges, back=True)
@@ -161,8 +198,8 @@ def stretches(word: str) -> list[str]:
 
 def fit(counts: dict[str, np.ndarray], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (pieces, languages) from stretch counts by language."""
-    texts = list(counts)
-    weight = np.array([counts[x] for x in texts], float)
+    pairs = [(x[i : i + WINDOW], n) for x, n in counts.items() for i in range(0, len(x), WINDOW)]
+    texts, weight = [x for x, _ in pairs], np.array([n for _, n in pairs], float)
     k = weight.shape[1]
     groups = list(Lattice(pieces, k).groups(texts))
     p = np.full((len(pieces), k), 1.0 / len(pieces))
@@ -185,8 +222,12 @@ class Scorer:
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in found])
         flat = [y for x in found for y in x]
         out = np.zeros((len(texts), self.p.shape[1] + 1))
-        for part, edges in self.lattice.groups(flat):
-            np.add.at(out[:, :-1], owner[part], log_probability(self.p, edges))
+        short = np.array([len(x) <= WINDOW for x in flat], bool)
+        owners = owner[short]
+        for part, edges in self.lattice.groups([x for x, s in zip(flat, short.tolist(), strict=True) if s]):
+            np.add.at(out[:, :-1], owners[part], log_probability(self.p, edges))
+        for i in np.flatnonzero(~short).tolist():
+            out[owner[i], :-1] += windowed_probability(self.p, self.lattice, flat[i])
         out[owner, -1] = 1
         return out
 
@@ -194,6 +235,8 @@ class Scorer:
 def _training_counts(docs: DataFrame, per_language: int) -> tuple[list[str], dict[str, np.ndarray]]:
     """Stretch counts by language of the sample."""
     narrow = docs.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id", "lang")
+    if narrow.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     ids = smallest_hashes(narrow, "lang", per_language, LANGUAGES)  # ranked without the texts
     sample = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("id"))).join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text")
 

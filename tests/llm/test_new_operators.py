@@ -225,3 +225,45 @@ def test_trigram_queries_hold_for_every_match():
 def test_scan_stays_native(spark):
     plan = secrets.secrets(frame(spark, SECRETS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- language identification ---------------------------------------------------
+
+
+def test_long_runs_are_summed_in_windows(monkeypatch):
+    import resource
+    import threading
+    import time
+
+    from sieveline.llm import language_id
+
+    pieces = language_id.vocabulary(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.full(len(pieces), 0.1), size=3).T
+    scorer = language_id.Scorer(pieces, p)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzéü中日の"))
+    for n in (1, 15, 40, 900, 5000):
+        word = "▁" + "".join(rng.choice(letters, n))
+        (part, edges), = scorer.lattice.groups([word])
+        with monkeypatch.context() as m:
+            m.setattr(language_id, "WINDOW", 64)
+            assert language_id.windowed_probability(p, scorer.lattice, word) == pytest.approx(language_id.log_probability(p, edges)[0], rel=1e-9)
+            assert scorer([word[1:]])[0, :-1] == pytest.approx(scorer.lattice.longest and language_id.log_probability(p, edges)[0], rel=1e-9)
+            trained = language_id.fit({word: np.array([1.0, 0.0, 0.0])}, pieces, rounds=1)
+            assert np.isfinite(trained).all() and trained.sum(axis=0) == pytest.approx(1)
+    # five million bytes of letters in a row, in the memory of the text and a window
+    now = lambda: int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize()
+    text = "".join(rng.choice(np.array(list("éüждλ")), 2_500_000))
+    before, most, done = now(), [0], threading.Event()
+
+    def watch():
+        while not done.is_set():
+            most[0] = max(most[0], now())
+            time.sleep(0.05)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    told = scorer([text])
+    done.set()
+    thread.join()
+    assert np.isfinite(told).all() and most[0] - before < 400e6
