@@ -64,3 +64,35 @@ def test_gram_index_loses_no_match_and_pairs_few(spark):
     want = sorted((n, a, b, v) for c, _, n, t in lines for k, v in values if k == c for a, b in approximate_spans(t or "", v))
     assert got == want and len(want) > 100
     assert approximate_candidates(left, known).count() < len(lines) * len(values) / 2 / 2
+
+
+def test_visits_of_a_hot_key_are_those_of_a_plain_fold(spark):
+    from pyspark.sql import functions as F
+
+    from sieveline.operators.usage import counted_visits
+
+    rng = random.Random(8)
+    rows, old = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key, n, step in (("hot", 1500, 40), ("busy", 300, 3), ("rare", 40, 90), (None, 60, 25), ("tasks", 30, 10)):
+        now = 0.0
+        for _ in range(n):
+            now += rng.choice([0, 0, rng.uniform(0, step), 30 if rng.random() < 0.1 else 1])
+            rows.append((key, BEGIN + dt.timedelta(seconds=round(now * 60)), key == "tasks" or rng.random() < 0.15))
+    rows += [("first", BEGIN, True), ("first", BEGIN + dt.timedelta(minutes=5), False), ("first", BEGIN + dt.timedelta(minutes=6), False), ("x", None, False)]
+    rng.shuffle(rows)
+    want = {}
+    for key, at, task in sorted((r for r in rows if r[1]), key=lambda r: (str(r[0]), r[1], not r[2])):
+        visits, tasks, last = want.get(key, (0, 0, None))
+        us = int((at - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+        if task:
+            want[key] = (visits, tasks + 1, us)
+        elif visits == 0 or us - last >= 1_800_000_000:
+            want[key] = (visits + 1, tasks, us)
+    df = spark.createDataFrame(rows, "k string, ts timestamp, task boolean").repartition(5)
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {r.k: (r.visits, r.tasks, r.last_us) for r in counted_visits(df, ["k"], "ts", F.col("task")).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert got == want
