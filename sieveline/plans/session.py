@@ -166,7 +166,7 @@ ORACLE_SQL = {
         SELECT o_orderkey, 'otp' AS kind, lpad(k, 6, '0') AS value FROM o UNION ALL SELECT o_orderkey, 'identity_field', 'C' || lpad(k, 7, '0') FROM o
         UNION ALL SELECT o_orderkey, 'payment_field', '0' || (o_orderkey % 9 + 1) || '/29' FROM o UNION ALL SELECT o_orderkey, 'secret', 'Ab@' || lpad(k, 6, 'x') FROM o
         UNION ALL SELECT o_orderkey, 'date_of_birth', strftime(o_orderdate, '%d/%m/%Y') FROM o""",
-    "page_headings": r"""SELECT page_id, substr(h, 2, 2) AS tag, trim(regexp_replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+    "page_headings": r"""SELECT page_id, substr(h, 2, 2) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
         FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>[^<]*</h')) || '>' AS h FROM pages)""",
     "page_links": "SELECT page_id, n AS links FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS n FROM pages) WHERE n > 0",
     "visit_counts": """SELECT user_id, CAST(len(c) AS BIGINT) AS visits, c[-1] AS last_us FROM (SELECT user_id,
