@@ -5,8 +5,9 @@ Full-length pieces become sequences of their own.  The rest pieces are packed
 under simultaneous limits on tokens, segments and loss-bearing tokens by the
 dot-product heuristic: into the open sequence goes the fitting piece whose
 demand vector has the largest dot product with the room left.  A sequence in
-which nothing fits any more is filled by cutting a piece; what remains of a
-task is cut into powers of two, which need no padding.  Each task packs its own
+which nothing fits any more is filled by cutting a piece.  One that another
+limit keeps from being full ends at a power of two, which needs no padding, and
+gives back what lies behind; what remains of a task is cut into powers of two.  Each task packs its own
 input, so that nothing is shuffled, and a retried task gives the same rows.
 
 Tokens of a word do not depend on its neighbours: a space starts a new
@@ -120,7 +121,9 @@ class VectorPacker:
             cut = min(tokens, length)
             lossy = max(0, min(cut, cut - (length - loss)))
             if lossy > most_loss:
-                cut, lossy = cut - (lossy - most_loss), most_loss
+                cut = cut - (lossy - most_loss)
+                cut = 1 << (cut.bit_length() - 1)
+                lossy = max(0, cut - (length - loss))
             self.emit(key, start, cut, self.sequence, 0)
             self.sequence += 1
             start, length, loss = start + cut, length - cut, loss - lossy
@@ -140,7 +143,7 @@ class VectorPacker:
 
     def _fill(self, cut: bool = True) -> None:
         """One sequence from the pool."""
-        room, offset = self.limits.copy(), 0
+        room, offset, placed = self.limits.copy(), 0, []
         while self.items and room[0] > 0 and room[1] > 0:
             demand = self.demand[: len(self.items)]
             fits = (demand <= room).all(axis=1)
@@ -161,11 +164,37 @@ class VectorPacker:
                     break
             else:
                 break
-            self.emit(key, start, length, self.sequence, offset)
+            placed.append((key, start, length, loss))
             offset += length
             room -= (length, 1, loss)
+        if offset and room[0] > 0:
+            offset = self._trim(placed, offset)
+        at = 0
+        for key, start, length, _ in placed:
+            self.emit(key, start, length, self.sequence, at)
+            at += length
         self.sequence += 1
 
+    def _trim(self, placed: list, total: int) -> int:
+        """Give back what ``placed`` holds behind the largest power of two."""
+        keep = 1 << (total.bit_length() - 1)
+        while total > keep:
+            key, start, length, loss = placed.pop()
+            stay = max(0, keep - (total - length))
+            # the last tokens of a piece bear its loss
+            stay_loss = max(0, stay - (length - loss))
+            if stay:
+                placed.append((key, start, stay, stay_loss))
+            total -= length - stay
+            back, back_loss = length - stay, loss - stay_loss
+            if self.items and self.items[-1][:2] == (key, start + length):
+                # what was cut off behind it
+                more = self.items.pop()
+                back, back_loss = back + more[2], back_loss + more[3]
+            self.demand[len(self.items)] = (back, 1, back_loss)
+            self.items.append((key, start + stay, back, back_loss))
+        return total
+
     def finish(self) -> None:
         """Pack what waits; the last sequence is cut into powers of two."""
         while self.items:

@@ -183,6 +183,26 @@ def test_packing_limits():
     assert len(full) <= 1  # only the tail, which is cut into powers of two
 
 
+def test_packing_pads_nothing_whatever_limit_binds():
+    for limits, draw in (((2048, 256, 2048), lambda r: r.randint(1, 7)), ((2048, 16, 700), lambda r: r.choice([1, 3, 50, 900, 5000])), ((64, 3, 9), lambda r: r.randint(1, 9))):
+        rng, seen, sizes = random.Random(1), [], {}
+        packer = packing.VectorPacker(limits, lambda *x: seen.append(x))
+        for i in range(4000):
+            sizes[i] = draw(rng)
+            packer.add(i, 0, sizes[i], rng.randint(0, sizes[i]))
+        packer.finish()
+        sequences, pieces = {}, {}
+        for key, start, length, sequence, offset in seen:
+            sequences.setdefault(sequence, []).append((offset, length))
+            pieces.setdefault(key, []).append((start, length))
+        for parts in [*sequences.values(), *pieces.values()]:
+            parts.sort()
+            assert [x for x, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]]
+        assert {k: sum(n for _, n in v) for k, v in pieces.items()} == sizes
+        totals = [sum(n for _, n in v) for v in sequences.values()]
+        assert all(t == limits[0] or t & (t - 1) == 0 for t in totals) and max(map(len, sequences.values())) <= limits[1]
+
+
 def brute_top_k(v, k=20):
     """(query, rank, id, score) of rows (id, vector); zeros pad the shorter, the smallest vector of an id asks."""
     rows = [(i, np.floor(64 * np.array([*x, *[0.0] * (24 - len(x))]))) for i, x in v if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
