@@ -31,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
 from .components import components
-from .kernels import LOWER, chunks, gram_hashes, lean, mix, span_hash, text_buffer, trimmed, word_hashes, words
+from .kernels import LOWER, buckets_of, chunks, gram_hashes, lean, mix, span_hash, text_buffer, trimmed, word_hashes, words
 
 _U = np.uint64
 REGISTERS, ROWS = 96, 4
@@ -48,8 +48,8 @@ _FACTORS = mix(_SEEDS) | _U(1)
 BLOCK = 1024
 #: Shingles hashed at once.
 SLICE = 1 << 13
-#: Full sets in one batch of rows.
-ROWS_OUT = 64
+#: Full sets in one batch of rows, and hashes of a row, on average at most.
+ROWS_OUT, ITEMS = 64, 1 << 11
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -122,24 +122,43 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(cid, slice, items): full sets, cut by the high bits of their hashes."""
+
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_OUT):
-                found = list(shingle_sets(batch.column(0).slice(i, ROWS_OUT), k))
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["cid", "items"])
+                cid, number, items = [], [], []
+                for s in shingle_sets(batch.column(0).slice(i, ROWS_OUT), k):
+                    n = slices_of(len(s))
+                    cuts = np.searchsorted(buckets_of(s, n), np.arange(n + 1))
+                    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+                    cid += [class_id(s)] * len(some)
+                    number += some
+                    items += [s[cuts[x] : cuts[x + 1]].view(np.int64) for x in some]
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.array(number, pa.int32()), pa.array(items, pa.list_(pa.int64()))], names=["cid", "slice", "items"])
+
+    return docs.mapInArrow(trimmed(run), "cid binary, slice int, items array<long>")
+
 
-    return docs.mapInArrow(trimmed(run), "cid binary, items array<long>")
+def slices_of(n: int) -> int:
+    """Into how many ranges of hashes a set of ``n`` is cut: a power of two, so that ranges of two sets nest."""
+    return 1 << max(0, (n - 1).bit_length() - ITEMS.bit_length() + 1)
+
+
+def _slice_bits(n: Column) -> Column:
+    """The same of a column, as a power."""
+    return F.greatest(F.lit(0), F.length(F.bin(F.greatest(n - 1, F.lit(0)))) - (ITEMS.bit_length() - 1))
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(cid, items): the full set of each class of the wanted (cid), once, from one
-    document of the class; no text is shuffled."""
+    """(cid, slice, items): the full set of each class of the wanted (cid), once, from one
+    document of the class; no text is shuffled, and no row grows with its text."""
     one = wanted.distinct().join(classes, "cid").select(F.col("text_hash").alias("__hash"), F.col("text_id").alias("__id"))
     some = docs.join(one, (F.col("text_hash") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = settle(_sets(some.select("text"), k).where("size(items) > 0"), "sets")
-    if sets.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+    sets = settle(_sets(some.select("text"), k), "sets")
+    if sets.groupBy("cid", "slice").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         return sets
-    return settle(sets.dropDuplicates(["cid"]), "sets")  # rows that repeat id and text
+    return settle(sets.dropDuplicates(["cid", "slice"]), "sets")  # rows that repeat id and text
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -158,12 +177,19 @@ def _plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(a, b, common, total): sizes of intersection and union, on full sets."""
+    """(a, b, common, total): sizes of intersection and union, on full sets.
+
+    Each slice of the larger set meets the one of the smaller that covers its range, and
+    what they share is summed."""
     sets = _class_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cid")), classes, k)
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
-    counted = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-    return counted.select("a", "b", "common", (F.col("n_a") + F.col("n_b") - F.col("common")).alias("total")).distinct()
+    swap = F.col("n_a") > F.col("n_b")
+    sided = pairs.select("a", "b", "n_a", "n_b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("__small"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("__large"))
+    finer = _slice_bits(F.greatest("n_a", "n_b")) - _slice_bits(F.least("n_a", "n_b"))
+    fine = sided.join(sets.select(F.col("cid").alias("__large"), "slice", F.col("items").alias("y")), "__large").select("a", "b", "n_a", "n_b", "__small", F.call_function("shiftright", F.col("slice"), finer).alias("__slice"), "y")
+    both = fine.join(sets.select(F.col("cid").alias("__small"), F.col("slice").alias("__slice"), F.col("items").alias("x")), ["__small", "__slice"])
+    shared = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("n"))
+    counted = shared.groupBy("a", "b", "n_a", "n_b").agg(F.sum("n").alias("common"))
+    return counted.select("a", "b", "common", (F.col("n_a") + F.col("n_b") - F.col("common")).alias("total"))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +245,8 @@ def _second_round(members: DataFrame, labels: DataFrame, classes: DataFrame, doc
     maybe = settle(maybe.applyInArrow(_block_candidates(percent / 100 - 0.2), CANDIDATE), "maybe")
     if maybe.isEmpty():
         return None
-    sets = _class_sets(docs, maybe.select("cid"), classes, k)
+    # blocks compare whole sets
+    sets = _class_sets(docs, maybe.select("cid"), classes, k).groupBy("cid").agg(F.flatten(F.collect_list("items")).alias("items"))
     left = _renamed(maybe.where("side = 0").select("cid", "pivot", "label", "x", "y").join(sets, "cid"))
     right = _renamed(maybe.where("side = 1").select("cid", F.col("pivot").alias("pivot_r"), "label", F.col("y").alias("y_r"), F.col("x").alias("x_r")).join(sets, "cid"))
     return settle(left.groupBy("pivot", "x", "y").cogroup(right.groupBy("pivot_r", "x_r", "y_r")).applyInArrow(_block_links(percent), "a binary, b binary").distinct(), "more")

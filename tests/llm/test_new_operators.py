@@ -267,3 +267,38 @@ def test_long_runs_are_summed_in_windows(monkeypatch):
     done.set()
     thread.join()
     assert np.isfinite(told).all() and most[0] - before < 400e6
+
+
+# --- near-duplicates: sets in slices -------------------------------------------
+
+
+def test_sliced_sets_count_what_whole_sets_share(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sieveline.llm import minhash
+
+    monkeypatch.setattr(minhash, "ITEMS", 8)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(24):
+        words = base[: rng.choice([1, 2, 9, 17, 33, 120, 400])]
+        texts[i] = " ".join(w if rng.random() > 0.02 else f"x{rng.randrange(99)}" for w in words)
+    docs = spark.createDataFrame([*texts.items(), (0, texts[0])], "id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    rows = minhash.sketch(docs, 3)
+    classes = rows.groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("text_hash", "id")).alias("t")).select("cid", "rep", "n", "keys", F.col("t.text_hash").alias("text_hash"), F.col("t.id").alias("text_id"))
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"))
+    got = {(r.a, r.b): (r.common, r.total) for r in minhash._measured(side("a").join(side("b"), F.col("a") < F.col("b")), docs, classes, 3).collect()}
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)}
+
+    name = {bytes(r.cid): r.id for r in rows.collect()}
+    found = {tuple(sorted((name[bytes(a)], name[bytes(b)]))): x for (a, b), x in got.items()}
+    reps = sorted(set(name.values()))
+    for i, a in enumerate(reps):
+        for b in reps[i + 1 :]:
+            x, y = shingles(texts[a]), shingles(texts[b])
+            assert found.get((a, b), (0, len(x | y))) == (len(x & y), len(x | y)), (a, b)
+    assert len(found) > 100
