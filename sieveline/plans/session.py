@@ -14,6 +14,7 @@ from ..operators.rules import RULES, scan_text
 from ..operators.usage import counted_visits, keep_newest_page, preferred, scroll_budget
 from ..operators.vault import mint_tokens, restore_texts, rewrite_texts
 from ..operators.vault_store import VaultTable
+from ..sources.capture_files import captured_nodes, read_captures
 from ..sources.html import html_nodes
 from ..store import shared_folder, stored
 
@@ -93,6 +94,18 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of pages that come as files of lines; lines of pages with an odd number of
+    characters broke off half way.  The row without a page counts those."""
+    line = F.to_json(F.struct(F.col("page_id").alias("capture_id"), "url", "html"))
+    sent = _table(spark, sf_dir, "pages").select(F.when(F.length("html") % 2 == 1, F.left(line, (F.length(line) / 2).cast("int"))).otherwise(line).alias("value"))
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    sent.write.text(folder)
+    records = read_captures(spark, folder, "pages")
+    links = captured_nodes(records).where("role = 'link'").groupBy(F.col("capture_id").alias("page_id")).agg(F.count(F.lit(1)).alias("links"))
+    return links.unionByName(records.agg(F.lit(None).cast("long").alias("page_id"), F.count("malformed").alias("links")))
+
+
 def visit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").where("event_type <> 'purchase'")
     return counted_visits(events, ["user_id"], "ts", F.lit(False)).select("user_id", "visits", "last_us")
@@ -142,7 +155,7 @@ _EMAIL, _IP = (BY_NUMBER[i].pattern for i in (9, 29))
 QUERIES = {
     f.__name__: f
     for f in (
-        vault_tokens, vault_round_trip, minted_batches, judged_clicks, labelled_values, page_headings, page_links, visit_counts, preferred_events, scroll_counts, newest_page, field_values,
+        vault_tokens, vault_round_trip, minted_batches, judged_clicks, captured_pages, labelled_values, page_headings, page_links, visit_counts, preferred_events, scroll_counts, newest_page, field_values,
         search_urls, folded_texts, findings_summary,
     )
 }
@@ -169,6 +182,8 @@ ORACLE_SQL = {
     "page_headings": r"""SELECT page_id, substr(h, 2, 2) AS tag, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
         FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>[^<]*</h')) || '>' AS h FROM pages)""",
     "page_links": "SELECT page_id, n AS links FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS n FROM pages) WHERE n > 0",
+    "captured_pages": """SELECT page_id, n AS links FROM (SELECT page_id, html, CAST(len(regexp_extract_all(html, '<a href')) AS BIGINT) AS n FROM pages) WHERE n > 0 AND length(html) % 2 = 0
+        UNION ALL SELECT NULL, count(*) FILTER (length(html) % 2 = 1) FROM pages""",
     "visit_counts": """SELECT user_id, CAST(len(c) AS BIGINT) AS visits, c[-1] AS last_us FROM (SELECT user_id,
         list_reduce(list_transform(list(epoch_us(ts) ORDER BY ts), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 1800000000 THEN list_concat(a, x) ELSE a END) AS c
         FROM events WHERE event_type <> 'purchase' GROUP BY user_id)""",
