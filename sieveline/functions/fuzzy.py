@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -29,26 +31,46 @@ IDENTIFIERS = "aadhaar pan gstin ifsc payment_card passport voter_id vehicle_num
 _SOLID = regex.compile(r"[\p{L}\p{N}]")
 
 
-def fold_read(text: Column) -> Column:
-    """Letters and digits alone, lower case, look-alikes as one."""
-    return F.regexp_replace(F.translate(F.lower(text), "".join(FOLDED), "".join(FOLDED.values())), r"[^\p{L}\p{N}]", "")
-
-
 def slack(length: int) -> int:
     """Edits by which a folded value of this length may differ."""
     return 0 if length < 8 else min(2, length // 8)
 
 
-def slack_of(length: Column) -> Column:
-    """The same of a column."""
-    return F.when(length < 8, 0).otherwise(F.least(F.lit(2), F.floor(length / 8).cast("int")))
+@lru_cache(maxsize=65536)
+def _fold_one(c: str) -> str:
+    return "".join(x for x in (FOLDED.get(y, y) for y in c.lower()) if _SOLID.match(x))
+
+
+@lru_cache(maxsize=65536)
+def _solid(c: str) -> bool:
+    return bool(_SOLID.match(c))
 
 
 def _folded(text: str) -> tuple[str, list[int]]:
     """The folded form and where each of its characters stands."""
-    kept = [(FOLDED.get(c.lower(), c.lower()), i) for i, c in enumerate(text)]
-    kept = [(c, i) for c, i in kept if _SOLID.match(c)]
-    return "".join(c for c, _ in kept), [i for _, i in kept]
+    kept = [_fold_one(c) for c in text]
+    return "".join(kept), [i for i, x in enumerate(kept) for _ in x]
+
+
+def folded_value(value: str) -> str:
+    return _folded(value)[0]
+
+
+class FoldedLine:
+    """A line's folded form, where its characters stand, and at which of them a whole word may start or end."""
+
+    def __init__(self, text: str):
+        self.hay, self.places = _folded(text)
+        self.starts = [i == 0 or not _solid(text[i - 1]) for i in self.places]
+        self.ends = [i + 1 == len(text) or not _solid(text[i + 1]) for i in self.places]
+
+    def windows(self, least: int, most: int):
+        """The stretches of whole words of ``least`` to ``most`` characters."""
+        ends = [i + 1 for i, ok in enumerate(self.ends) if ok]
+        for a, ok in enumerate(self.starts):
+            if ok:
+                for b in ends[bisect_left(ends, a + least) : bisect_right(ends, a + most)]:
+                    yield self.hay[a:b]
 
 
 def _ends(needle: str, hay: str, most: int):
@@ -103,6 +125,144 @@ def approximate_spans(text: str, value: str) -> list[tuple[int, int]]:
     return out
 
 
+def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, one row a text, with zeros behind; and the lengths."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    out = np.zeros((len(texts), int(lengths.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return out, lengths
+
+
+def near_strings(windows: list[tuple[int, str]], values: list[tuple[int, str]], most: int, at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all windows and values of one group, both (group, text) without
+    repeats, that differ by ``most`` edits or less.
+
+    The values' tree of prefixes is walked level by level for all windows together,
+    with the costs of the prefix against those of a window of nearly its length; a
+    branch ends where all of them exceed ``most``.  So what is walked follows what is
+    found, also where all values begin alike."""
+    none = np.zeros(0, np.int64)
+    if not windows or not values:
+        return none, none
+    codes, lengths = _matrix([x for _, x in values])
+    groups = np.array([g for g, _ in values], np.int64)
+    order = np.lexsort((*codes.T[::-1], groups))
+    codes, lengths, groups = codes[order], lengths[order], groups[order]
+    shared = np.zeros((len(values), codes.shape[1] + 1), bool)
+    shared[1:, 0] = groups[1:] == groups[:-1]
+    shared[1:, 1:] = shared[1:, :1] & np.logical_and.accumulate(codes[1:] == codes[:-1], axis=1)
+    roots, before = np.unique(groups, return_inverse=True)
+    levels, size = [], len(roots)
+    for depth in range(1, codes.shape[1] + 1):
+        first = np.flatnonzero((lengths >= depth) & ~shared[:, depth])
+        node = np.cumsum((lengths >= depth) & ~shared[:, depth]) - 1
+        count = np.bincount(before[first], minlength=size)
+        whole = np.full(len(first), -1)
+        last = np.flatnonzero(lengths == depth)
+        whole[node[last]] = order[last]
+        levels.append((np.cumsum(count) - count, count, codes[first, depth - 1], whole))
+        before, size = node, len(first)
+    found = [(none, none)]
+    for lo in range(0, len(windows), at_once):
+        some = windows[lo : lo + at_once]
+        text, m = _matrix([x for _, x in some])
+        own = np.array([g for g, _ in some], np.int64)
+        node = np.minimum(np.searchsorted(roots, own), len(roots) - 1)
+        w = np.flatnonzero(roots[node] == own)
+        node = node[w]
+        costs = [np.where(k <= m[w], max(k, 0) if k >= 0 else most + 1, most + 1).astype(np.uint8) for k in range(-most, most + 1)]
+        for depth, (start, count, char, whole) in enumerate(levels, 1):
+            n = count[node]
+            up = np.repeat(np.arange(len(node)), n)
+            child = np.arange(len(up)) - np.repeat(np.cumsum(n) - n - start[node], n)
+            w, c, old = w[up], char[child], [x[up] for x in costs]
+            costs, ends = [], m[w]
+            for at, k in enumerate(range(-most, most + 1)):
+                j = depth + k  # how much of the window stands against the prefix
+                new = np.full(len(w), most + 1, np.uint8)
+                if 1 <= j <= text.shape[1]:
+                    new = old[at] + (text[w, j - 1] != c)
+                if k < most:
+                    new = np.minimum(new, old[at + 1] + 1)
+                if costs and j >= 1:
+                    new = np.minimum(new, costs[-1] + 1)
+                costs.append(np.where((j >= 0) & (j <= ends), np.minimum(new, most + 1), most + 1).astype(np.uint8))
+            keep = np.minimum.reduce(costs) <= most
+            w, node, costs = w[keep], child[keep], [x[keep] for x in costs]
+            if not len(w):
+                break
+            for at, k in enumerate(range(-most, most + 1)):
+                hit = np.flatnonzero((whole[node] >= 0) & (m[w] == depth + k) & (costs[at] <= most))
+                found.append((w[hit] + lo, whole[node[hit]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+#: A cell holds its cost, then which step led to it, then where its match starts.
+_COST, _STEP = 1 << 34, 1 << 32
+#: Cells of the search that are held at once.
+_CELLS = 1 << 20
+
+
+def approximate_spans_of(lines: list[FoldedLine], line: np.ndarray, needles: list[str], needle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, start, end): what ``approximate_spans`` finds for each pair of a line and a
+    folded value that may differ, by places in both lists; pairs of equal length go together."""
+    out = [(np.zeros(0, np.int64),) * 3]
+    sizes = np.array([len(x) for x in needles], np.int64)[needle]
+    width = np.array([len(x.hay) for x in lines], np.int64)[line]
+    for size in np.unique(sizes).tolist():
+        # long lines apart from short ones
+        same = np.flatnonzero(sizes == size)
+        same = same[np.argsort(width[same], kind="stable")]
+        at = 0
+        while at < len(same):
+            n = max(1, _CELLS // max(1, int(width[same[at]])))
+            part = same[at : at + n]
+            part = part[: np.searchsorted(width[part], 2 * width[part[0]] + 16, side="right")]
+            at += len(part)
+            rows, own = np.unique(line[part], return_inverse=True)
+            have, mine = np.unique(needle[part], return_inverse=True)
+            out.append(_settled(part, [lines[i] for i in rows.tolist()], own, _matrix([needles[i] for i in have.tolist()])[0][mine].T, slack(size)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _settled(pairs: np.ndarray, rows: list[FoldedLine], own: np.ndarray, letters: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, count = letters.shape
+    text, lengths = _matrix([x.hay for x in rows])
+    n = text.shape[1]
+    padded = lambda xs, kind: np.array([x + [0] * (n - len(x)) for x in xs], kind).reshape(len(rows), n)
+    places, starts, ends = padded([x.places for x in rows], np.int64), padded([x.starts for x in rows], bool), padded([x.ends for x in rows], bool)
+    text = np.ascontiguousarray(text[own].T)
+    cells = [np.full(count, i * _COST) for i in range(size + 1)]
+    last = np.zeros((n, count), np.int64)
+    for j in range(n):
+        left, diagonal = np.full(count, j + 1), cells[0]
+        cells[0] = left
+        for i in range(size):
+            here = diagonal + np.where(letters[i] != text[j], _COST, 0)
+            diagonal = cells[i + 1]
+            np.minimum(here, diagonal + (_COST + _STEP), out=here)
+            np.minimum(here, left + (_COST + 2 * _STEP), out=here)
+            here &= ~(3 * _STEP)
+            cells[i + 1] = left = here
+        last[j] = left
+    cost, start = last >> 34, last & (_STEP - 1)
+    end = np.arange(1, n + 1)[:, None]
+    hit = (cost <= most) & (end <= lengths[own])
+    run = np.cumsum(hit & ~np.concatenate((np.zeros((1, count), bool), hit[:-1])), axis=0)
+    first = np.minimum(start, n - 1)
+    good = hit & (start < end) & starts[own, first] & ends[own].T
+    a, b = places[own, first], places[own].T + 1
+    rank = np.where(good, (cost << 32) + start - end, np.iinfo(np.int64).max)
+    told, until = [], np.zeros(count, np.int64)
+    for k in range(1, int(run.max(initial=0)) + 1):
+        here = np.where((run == k) & (a >= until), rank, np.iinfo(np.int64).max)
+        best = here.argmin(axis=0)
+        some = np.flatnonzero(here[best, np.arange(count)] < np.iinfo(np.int64).max)
+        told.append((pairs[some], a[best[some], some], b[best[some], some]))
+        until[some] = told[-1][2]
+    return tuple(np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.int64),) * 3
+
+
 def could_misread(read: Column, truth: Column) -> Column:
     """Whether every character of ``read`` is that of ``truth`` or looks like it."""
     shape = [(c, str(i)) for i, group in enumerate(ALIKE) for c in group]

@@ -66,6 +66,26 @@ def test_gram_index_loses_no_match_and_pairs_few(spark):
     assert approximate_candidates(left, known).count() < len(lines) * len(values) / 2 / 2
 
 
+def test_values_that_begin_alike_pair_what_is_near_alone(spark):
+    import time
+
+    value = lambda i: f"Supplier#{i:09d}"
+    left = spark.createDataFrame([(1, 0, i, "from " + value(i).replace("0", "O")) for i in range(700)], "capture_id int, block_id int, line_no int, text string")
+    known = spark.createDataFrame([(1, value(i), "k") for i in range(0, 70_000, 100)], "capture_id int, value string, kind string")
+    near = lambda a, b: any(len(set(x)) > 0 for x in approximate_spans("from " + value(a), value(b)))
+    begun = time.time()
+    found = {(r.line_no, int(r.value[9:])) for r in approximate_matches(left, known).collect()}
+    assert time.time() - begun < 30  # one pair at a time: minutes
+    assert approximate_candidates(left, known).count() <= 1.1 * len(found) < 700 * 700 / 4
+    assert all(((a, b) in found) == near(a, b) for a in range(0, 700, 97) for b in range(0, 70_000, 1700))
+
+
+def test_letters_whose_lower_case_is_longer_keep_their_places(spark):
+    left = spark.createDataFrame([(1, 0, 0, "\u0130\u0130 Kavya Iyer Rao")], "capture_id int, block_id int, line_no int, text string")
+    known = spark.createDataFrame([(1, "Kavya Iyer Rao", "k")], "capture_id int, value string, kind string")
+    assert [(r.start, r.end) for r in approximate_matches(left, known).collect()] == [(3, 17)]
+
+
 def test_visits_of_a_hot_key_are_those_of_a_plain_fold(spark):
     from pyspark.sql import functions as F
 
