@@ -327,6 +327,27 @@ def test_toxicity_of_a_text_depends_on_it_alone(spark):
         assert all(abs(a[0] - b[0]) <= 1e-9 and a[1] == b[1] for a, b in zip(got, alone, strict=True))
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    import hashlib
+    import zlib
+
+    # 200 words mark toxic texts, each in some twenty of 4,000: 600 texts hold too few of each
+    name = lambda x: "".join(chr(97 + b % 26) for b in hashlib.md5(x.encode()).digest()[:9])
+    text = lambda i: " ".join([*(name(f"plain{(i * 31 + k * k) % 900}") for k in range(12)), name(f"{'bad' if i % 2 else 'good'}{i // 2 % 200}")])
+    rows = [(i, text(i), ("en", "de", None)[i % 3], i % 2) for i in range(8000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels).collect()}
+    assert all(got[i].held_out == held(i) for i in got) and len(got) == len(rows)
+    assert sum(got[i].predicted == y for i, _, _, y in rows if held(i)) >= 0.99 * sum(held(i) for i in got)
+    model = toxicity.fit([(t, lang or "", y) for i, t, lang, y in rows[::-1] if not held(i)])
+    for i in range(0, 8000, 160):
+        w = rows[i][1].split()
+        p, guess = toxicity.score_rows(model, model.word_rows(w).astype(np.float32), np.array([0, len(w)]))
+        assert abs(got[i].score - toxicity.rescale(p, model.thresholds[guess])[0]) < 1e-6
+
+
 def test_license_forms(spark, docs, none):
     isc, mit, bsd = (licenses.KNOWN[x] for x in ("ISC", "MIT", "BSD-2-Clause"))
     wrap = lambda t: "\n".join(textwrap.wrap(t, 75))
