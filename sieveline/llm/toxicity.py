@@ -279,7 +279,10 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, lang, toxic, apart) of the documents to learn from."""
     told = labels.where(F.col("toxic").isNotNull()).groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out(F.col("id")))
     text = F.coalesce("text", F.lit(""))
-    return docs.where(~held_out(F.col("id"))).join(told, "id").select(text.alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), "toxic", (F.crc32(text.cast("binary")) % 4 == 3).alias("apart"))
+    # told before the join, so that no text travels where only sizes are asked; always a merge
+    # join, as labels grow with the documents and texts are not to travel from some size on alone
+    own = docs.where(~held_out(F.col("id"))).select("id", text.alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), (F.crc32(text.cast("binary")) % 4 == 3).alias("apart"))
+    return own.join(told.hint("merge"), "id").select("text", "lang", "toxic", "apart")
 
 
 def fit_all(docs: DataFrame, labels: DataFrame) -> Model | None:
